@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import id_hex
+from ..session import cut
 from ..sources import table
+from . import seen
 from . import spans as sp
 
 LEAST = 240
 
 
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from ..session import cut
-
     docs = table(spark, d, "documents").select("doc_id", "text")
     return cut(sp.class_spans(docs, id_col="doc_id", text_col="text", least=LEAST), "spans"), sp.text_classes(docs, "doc_id", "text")
 
@@ -28,5 +29,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return sp.shared_shares(*_spans(spark, d), LEAST)
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_shares)}
-SQL: dict[str, str] = {}
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    chunks = seen.keyed(table(spark, d, "chunks"), "chunks", record_id="chunk_id", order="batch_no", key=[F.col("payload")])
+    plan = table(spark, d, "chunk_plan").withColumn("chain_key", id_hex("chain_id"))
+    return chunks.unionByName(seen.keyed(plan, "chunk_plan", record_id="plan_id", order="received_unix", key=[F.col("chain_key"), F.col("region"), F.col("chunk_index")]))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of chunks and chunk_plan whose key is in an earlier row of their table."""
+    return seen.seen_before(_keys(spark, d))
+
+
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The measured rate of wrong answers of the cuckoo tables, per stream."""
+    return seen.audit(_keys(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_audit, p8_found, p8_shares)}
+
+_HEX = "replace(replace(replace(replace(lower(trim(chain_id)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '')"
+SQL = {
+    "p3_found": f"""SELECT 'chunks' AS stream_name, chunk_id AS record_id FROM (SELECT chunk_id, row_number() OVER (PARTITION BY payload ORDER BY batch_no, chunk_id) AS rn FROM chunks WHERE payload IS NOT NULL) WHERE rn > 1
+UNION ALL SELECT 'chunk_plan', plan_id FROM (SELECT plan_id, row_number() OVER (PARTITION BY {_HEX}, region, chunk_index ORDER BY received_unix, plan_id) AS rn FROM chunk_plan WHERE chunk_index IS NOT NULL) WHERE rn > 1""",
+}
