@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import id_hex
+from ..functions.ids import canonical_id, id_hex
+from ..plans.sizing import bounded_join
 from ..session import cut
 from ..sources import table
-from . import seen
+from . import history, seen
 from . import spans as sp
 
 LEAST = 240
@@ -45,7 +46,16 @@ def p3_audit(spark: SparkSession, d: str) -> DataFrame:
     return seen.audit(_keys(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_audit, p8_found, p8_shares)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk records that repeat or nearly repeat one accepted before, within their backup set."""
+    chains = cut(table(spark, d, "members").groupBy(canonical_id("chain_id").alias("chain")).agg(F.min(canonical_id("set_id")).alias("set_id")), "chains")
+    chunks = table(spark, d, "chunks").where(F.col("payload").isNotNull()).select("chunk_id", "batch_no", canonical_id("chain_id").alias("chain"), "payload")
+    records = bounded_join(chunks, chains, ["chain"], rows=200_000)
+    pairs = history.repeats(records, group="set_id", batch="batch_no", record_id="chunk_id", payload="payload")
+    return pairs.select(F.least("accepted", "repeated").alias("chunk_a"), F.greatest("accepted", "repeated").alias("chunk_b"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_audit, p8_found, p8_shares)}
 
 _HEX = "replace(replace(replace(replace(lower(trim(chain_id)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '')"
 SQL = {
