@@ -9,8 +9,9 @@ from ..functions.ids import canonical_id, id_hex
 from ..plans.sizing import bounded_join
 from ..session import cut
 from ..sources import table
-from . import history, seen
+from . import history, mixing, packing, seen
 from . import spans as sp
+from .tokens import token_counts
 
 LEAST = 240
 
@@ -55,7 +56,40 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("accepted", "repeated").alias("chunk_a"), F.greatest("accepted", "repeated").alias("chunk_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_audit, p8_found, p8_shares)}
+def _specs(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    return [(r["spec_id"], r["capacity_tokens"]) for r in table(spark, d, "pack_specs").orderBy("spec_id").collect()]  # fixed table of 3 rows
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The texts in each container of each capacity."""
+    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id"]), "sizes")
+    return packing.pack(sizes, _specs(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full each container is."""
+    specs = table(spark, d, "pack_specs").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    return packing.fills(p6_containers(spark, d), specs)
+
+
+def _mixed(spark: SparkSession, d: str):
+    targets = [(r["mix_id"], r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").orderBy("mix_id", "source").collect()]  # fixed table of 17 rows
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text").where(F.col("source").isin([t[1] for t in targets]))
+    sizes = cut(token_counts(docs, "text", ["doc_id", "source"]), "sizes")
+    return mixing.mix(sizes, targets)[0], targets
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts drawn for each mix, with repeats, in the order of the schedule."""
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return mixing.shares(*_mixed(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p3_found, p3_audit, p8_found, p8_shares)}
 
 _HEX = "replace(replace(replace(replace(lower(trim(chain_id)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '')"
 SQL = {
