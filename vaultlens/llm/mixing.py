@@ -89,7 +89,7 @@ def running(sizes: DataFrame, per_bucket: int = 50_000) -> DataFrame:
     source with a third of all rows is summed in many tasks.
     """
     n = max(1, sizes.count() // per_bucket)
-    rows = sizes.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.floor(F.shiftrightunsigned("h", 33) * n / F.lit(1 << 31)).cast("int"))
+    rows = sizes.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1))).withColumn("bucket", F.floor(F.shiftright("h", 32) * n / F.lit(1 << 31)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("c"))
     firsts = sums.withColumn("first", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     line = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
