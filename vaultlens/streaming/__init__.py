@@ -1 +1 @@
-
+"""Structured Streaming twins of the tracking and job operators."""
