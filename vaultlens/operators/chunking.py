@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 32
 
@@ -94,22 +96,22 @@ def read_range(chunks: DataFrame, by: list[str], index: str, piece: str, size: i
     return whole.select(*by, F.substring("content", offset - first * size + 1, length).alias("content"))
 
 
-@F.udf("binary", useArrow=True)
-def compress_if_smaller(data):
+@F.pandas_udf(T.BinaryType())
+def compress_if_smaller(data: pd.Series) -> pd.Series:
     """zstd where that is strictly smaller, else null."""
     import zstandard
 
-    if data is None:
-        return None
-    out = zstandard.ZstdCompressor(level=3).compress(bytes(data))
-    return out if len(out) < len(data) else None
+    pack = zstandard.ZstdCompressor(level=3).compress
+    packed = [None if x is None else pack(bytes(x)) for x in data]
+    return pd.Series([z if z is not None and len(z) < len(x) else None for x, z in zip(data, packed)], dtype=object)
 
 
-@F.udf("binary", useArrow=True)
-def decompress(data):
+@F.pandas_udf(T.BinaryType())
+def decompress(data: pd.Series) -> pd.Series:
     import zstandard
 
-    return None if data is None else zstandard.ZstdDecompressor().decompress(bytes(data))
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pd.Series([None if x is None else unpack(bytes(x)) for x in data], dtype=object)
 
 
 def nonce(number: Column) -> Column:

@@ -48,13 +48,13 @@ def group_links(files: DataFrame, by: list[str], identity: list[str], order: str
     return files.withColumn("is_first", F.col(order) == first).withColumn("link_group", F.dense_rank().over(Window.partitionBy(*by).orderBy(first)))
 
 
-def incremental(now: DataFrame, reference: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+def incremental(now: DataFrame, reference: DataFrame, key: list[str], by: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Entries against the reference listing: ``new``, ``unchanged`` (all compared fields equal) or ``changed``."""
     old = reference.select(*by, *key, *[F.col(c).alias(f"old_{c}") for c in COMPARED], F.lit(True).alias("known"))
     same = F.lit(True)
     for c in COMPARED:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    return now.join(old, [*by, *key], "left").withColumn("status", F.when(F.col("known").isNull(), "new").when(same, "unchanged").otherwise("changed")).select(*by, *key, "file_kind", "size", "status")
+    return now.join(old, [*by, *key], "left").withColumn("status", F.when(F.col("known").isNull(), "new").when(same, "unchanged").otherwise("changed")).select(*by, *keep, *key, "file_kind", "size", "status")
 
 
 def restore_order(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def directory_page(entries: DataFrame, by: list[str], offset: int, limit: int) -
     dirs = kids.select(*by, "dir").distinct()
     dots = dirs.select(*by, "dir", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.lit(".").cast("binary").alias("name")), F.struct(F.lit(1).alias("rank"), F.lit("..").cast("binary").alias("name")))).alias("d")).select(*by, "dir", "d.rank", "d.name")
     at = F.row_number().over(Window.partitionBy(*by, "dir").orderBy("rank", "name")) - 1
-    return kids.unionByName(dots).withColumn("at", at).where((F.col("at") >= offset) & (F.col("at") < offset + limit))
+    return kids.unionByName(dots).withColumn("place", at).where((F.col("place") >= offset) & (F.col("place") < offset + limit))
 
 
 def first_occurrence(chunks: DataFrame, by: list[str], content: list[str], order: list[str]) -> DataFrame:

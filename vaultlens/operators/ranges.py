@@ -23,7 +23,9 @@ def merge_ranges(df: DataFrame, by: list[str]) -> DataFrame:
     line = _line(by).orderBy("start", "end_incl")
     rows = df.where("start is not null and end_incl >= start").select(*by, F.col("start").cast("bigint").alias("start"), F.col("end_incl").cast("bigint").alias("end_incl"))
     reach = rows.withColumn("reach", F.max("end_incl").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    isles = reach.withColumn("isle", F.sum(F.when(F.col("start") <= F.col("reach") + 1, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    # equal ranges have one order only if the reach, which never falls along the line, is part of it
+    again = _line(by).orderBy("start", "end_incl", "reach").rowsBetween(Window.unboundedPreceding, 0)
+    isles = reach.withColumn("isle", F.sum(F.when(F.col("start") <= F.col("reach") + 1, 0).otherwise(1)).over(again))
     return isles.groupBy(*by, "isle").agg(F.min("start").alias("start"), F.max("end_incl").alias("end_incl")).drop("isle")
 
 

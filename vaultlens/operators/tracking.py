@@ -38,11 +38,14 @@ def bitmap_union(maps: DataFrame) -> DataFrame:
     return maps.groupBy("region", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).withColumn("n_dirty", F.bitmap_count("bits"))
 
 
-def quiet(events: DataFrame, windows: DataFrame) -> DataFrame:
-    """Dirtying events per window (dev, t0, t1); a window is quiet with none."""
-    hits = events.where(io_class(F.col("flags"), F.col("sectors")) == "dirty").select("dev", "ts")
-    w = windows.select("dev", "t0", "t1").join(hits, "dev", "left").groupBy("dev", "t0", "t1").agg(F.count(F.when(F.col("ts").between(F.col("t0"), F.col("t1")), 1)).alias("n_writes"))
-    return w.withColumn("is_quiet", F.col("n_writes") == 0)
+def quiet(events: DataFrame, windows: DataFrame, cell_seconds: int = 600) -> DataFrame:
+    """Dirtying events per window (dev, t0, t1, both ends inside); a window is quiet with none. Events and windows
+    meet in cells of time, so a device's events aren't paired with all its windows."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    hits = events.where(io_class(F.col("flags"), F.col("sectors")) == "dirty").select("dev", micros("ts").alias("start"), micros("ts").alias("end_incl"))
+    areas = windows.select("dev", "t0", "t1", micros("t0").alias("lo"), micros("t1").alias("hi"))
+    met = overlap_join(hits, areas, ["dev"], cell_seconds * 1_000_000).groupBy("dev", "t0", "t1").agg(F.count("*").alias("n_writes"))
+    return windows.select("dev", "t0", "t1").join(met, ["dev", "t0", "t1"], "left").na.fill(0, ["n_writes"]).withColumn("is_quiet", F.col("n_writes") == 0)
 
 
 def lost(counters: DataFrame) -> DataFrame:

@@ -56,32 +56,31 @@ def own_payloads(spark, d):
 
 
 def _halves(spark, d):
-    e = bind.entries(spark, d)
-    key = ["chain_id", "region", "chunk_index"]
-    old = ch.newest_state(e, key, "seq", bind.PAYLOAD, upto=F.lit(1)).withColumn("hash", F.col("plan_offset").cast("string"))
-    new = ch.newest_state(e.where("seq = 2"), key, "seq", bind.PAYLOAD).withColumn("hash", F.col("plan_offset").cast("string"))
-    return old, new, key
+    """Every member's own entries, and those of the member before it as its parent's state."""
+    key = ["chain_id", "seq", "region", "chunk_index"]
+    own = ch.newest_state(bind.entries(spark, d), key, "received_unix", ["plan_id", "state", "plan_offset"]).withColumn("hash", F.col("plan_offset").cast("string"))
+    return own.withColumn("seq", F.col("seq") + 1), own, key
 
 
-_HALVES = f"""WITH {ENTRIES}, e1 AS (SELECT * FROM entries WHERE seq <= 1), e2 AS (SELECT * FROM entries WHERE seq = 2),
-{NEWEST.replace('FROM entries', 'FROM e1').replace('newest AS', 'o AS')}, {NEWEST.replace('FROM entries', 'FROM e2').replace('newest AS', 'n AS')}"""
-_DIFF = _HALVES + """, x AS (SELECT chain_id, region, chunk_index, o.state AS old_state, n.state AS new_state, o.plan_offset AS oh, n.plan_offset AS nh FROM o FULL JOIN n USING (chain_id, region, chunk_index)),
+_HALVES = f"""WITH {ENTRIES}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, seq, region, chunk_index ORDER BY received_unix DESC, plan_id DESC) AS rn FROM entries) WHERE rn = 1),
+o AS (SELECT * REPLACE (seq + 1 AS seq) FROM n)"""
+_DIFF = _HALVES + """, x AS (SELECT chain_id, seq, region, chunk_index, o.state AS old_state, n.state AS new_state, o.plan_offset AS oh, n.plan_offset AS nh FROM o FULL JOIN n USING (chain_id, seq, region, chunk_index)),
 y AS (SELECT *, CASE WHEN new_state IS NULL THEN CASE WHEN coalesce(old_state, 0) = 0 THEN 'inherited' ELSE 'unused' END
   WHEN (coalesce(old_state, 0) = 1 AND new_state = 1 AND oh IS NOT DISTINCT FROM nh) OR (coalesce(old_state, 0) = new_state AND new_state IN (0, 2)) THEN 'inherited'
   WHEN new_state = 1 THEN 'stored' WHEN new_state = 2 THEN 'zero' WHEN new_state = 3 THEN 'bad' ELSE 'unused' END AS outcome FROM x)"""
 
 
-@query(_DIFF + " SELECT chain_id, region, chunk_index, old_state, new_state, outcome FROM y")
+@query(_DIFF + " SELECT chain_id, seq, region, chunk_index, old_state, new_state, outcome FROM y")
 def scan_diff(spark, d):
     return ch.scan_diff(*_halves(spark, d))
 
 
-@query(_DIFF + " SELECT chain_id, outcome, count(*) AS n_chunks FROM y GROUP BY 1, 2")
+@query(_DIFF + " SELECT chain_id, seq, outcome, count(*) AS n_chunks FROM y GROUP BY 1, 2, 3")
 def backup_counts(spark, d):
-    return ch.scan_diff(*_halves(spark, d)).groupBy("chain_id", "outcome").agg(F.count("*").alias("n_chunks"))
+    return ch.scan_diff(*_halves(spark, d)).groupBy("chain_id", "seq", "outcome").agg(F.count("*").alias("n_chunks"))
 
 
-@query(_HALVES + " SELECT chain_id, region, chunk_index, CAST(n.plan_id IS NOT NULL AS INTEGER) AS from_delta, coalesce(n.plan_id, o.plan_id) AS plan_id FROM o FULL JOIN n USING (chain_id, region, chunk_index)")
+@query(_HALVES + " SELECT chain_id, seq, region, chunk_index, CAST(n.plan_id IS NOT NULL AS INTEGER) AS from_delta, coalesce(n.plan_id, o.plan_id) AS plan_id FROM o FULL JOIN n USING (chain_id, seq, region, chunk_index)")
 def delta_upsert(spark, d):
     old, new, key = _halves(spark, d)
     return ch.upsert(old, new, key, ["plan_id"])

@@ -18,7 +18,7 @@ from .bind import CHUNKS, ENTRIES, LISTING, MEM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-BY = ["chain_id", "seq"]
+BY = ["chain_id", "seq", "region"]
 
 
 def query(sql: str | None = None):
@@ -32,14 +32,14 @@ def query(sql: str | None = None):
 
 
 def _extents(spark, d):
-    return bind.entries(spark, d).where("region = 0 and plan_len > 0").select(*BY, F.col("plan_offset").alias("start"), (F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
+    return bind.entries(spark, d).where("plan_len > 0").select(*BY, F.col("plan_offset").alias("start"), (F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
 
 
-_EXT = f"{ENTRIES}, ext AS (SELECT chain_id, seq, plan_offset AS start, plan_offset + plan_len - 1 AS end_incl FROM entries WHERE region = 0 AND plan_len > 0 AND plan_offset IS NOT NULL)"
+_EXT = f"{ENTRIES}, ext AS (SELECT chain_id, seq, region, plan_offset AS start, plan_offset + plan_len - 1 AS end_incl FROM entries WHERE plan_len > 0 AND plan_offset IS NOT NULL)"
 
 
-def _merged(source: str, name: str, by: str = "chain_id, seq") -> str:
-    return f"""{name} AS (SELECT {by}, min(start) AS start, max(end_incl) AS end_incl FROM (SELECT *, sum(CASE WHEN start <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY {by} ORDER BY start, end_incl ROWS UNBOUNDED PRECEDING) AS isle
+def _merged(source: str, name: str, by: str = "chain_id, seq, region") -> str:
+    return f"""{name} AS (SELECT {by}, min(start) AS start, max(end_incl) AS end_incl FROM (SELECT *, sum(CASE WHEN start <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY {by} ORDER BY start, end_incl, reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS isle
   FROM (SELECT *, max(end_incl) OVER (PARTITION BY {by} ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source} WHERE end_incl >= start)) GROUP BY {by}, isle)"""
 
 
@@ -52,13 +52,13 @@ def extents_merge(spark, d):
     return rg.merge_ranges(_extents(spark, d), BY)
 
 
-@query(f"""WITH {_EXT}, v AS (SELECT *, CASE WHEN end_incl < start THEN 'reversed' WHEN start <= max(end_incl) OVER (PARTITION BY chain_id, seq ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'overlap' END AS check_id FROM ext) SELECT * FROM v WHERE check_id IS NOT NULL""")
+@query(f"""WITH {_EXT}, v AS (SELECT *, CASE WHEN end_incl < start THEN 'reversed' WHEN start <= max(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'overlap' END AS check_id FROM ext) SELECT * FROM v WHERE check_id IS NOT NULL""")
 def extents_strict_violations(spark, d):
     return rg.range_violations(_extents(spark, d), BY)
 
 
-_COMPL = f"""{_MERGED}, g AS (SELECT chain_id, seq, coalesce(lag(end_incl) OVER (PARTITION BY chain_id, seq ORDER BY start) + 1, 0) AS start, start - 1 AS end_incl FROM mg
-UNION ALL SELECT chain_id, seq, max(end_incl) + 1, {1 << 62} FROM mg GROUP BY 1, 2), co AS (SELECT * FROM g WHERE start <= end_incl)"""
+_COMPL = f"""{_MERGED}, g AS (SELECT chain_id, seq, region, coalesce(lag(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start) + 1, 0) AS start, start - 1 AS end_incl FROM mg
+UNION ALL SELECT chain_id, seq, region, max(end_incl) + 1, {1 << 62} FROM mg GROUP BY 1, 2, 3), co AS (SELECT * FROM g WHERE start <= end_incl)"""
 
 
 @query(f"WITH {_COMPL} SELECT * FROM co")
@@ -66,14 +66,14 @@ def extents_complement(spark, d):
     return rg.complement(_extents(spark, d), BY, F.lit(0).cast("bigint"), F.lit(1 << 62))
 
 
-@query(f"WITH {ENTRIES}, b AS (SELECT chain_id, seq, chunk_index AS start, chunk_index AS end_incl FROM entries), {_merged('b', 'mg')} SELECT chain_id, seq, start * {bind.CHUNK} AS start, (end_incl + 1) * {bind.CHUNK} - 1 AS end_incl FROM mg")
+@query(f"WITH {ENTRIES}, b AS (SELECT chain_id, seq, region, chunk_index AS start, chunk_index AS end_incl FROM entries), {_merged('b', 'mg')} SELECT chain_id, seq, region, start * {bind.CHUNK} AS start, (end_incl + 1) * {bind.CHUNK} - 1 AS end_incl FROM mg")
 def extents_scale(spark, d):
     blocks = bind.entries(spark, d).select(*BY, F.col("chunk_index").alias("start"), F.col("chunk_index").alias("end_incl"))
     return rg.scale(rg.merge_ranges(blocks, BY), bind.CHUNK)
 
 
 _UNIT = 4 * bind.CHUNK
-_ALIGN = f"""{_EXT}, aw AS (SELECT chain_id, seq, (start // {_UNIT}) * {_UNIT} AS start, least((end_incl // {_UNIT} + 1) * {_UNIT}, {_SIZE}) - 1 AS end_incl FROM ext), {_merged('aw', 'al')}"""
+_ALIGN = f"""{_EXT}, aw AS (SELECT chain_id, seq, region, (start // {_UNIT}) * {_UNIT} AS start, least((end_incl // {_UNIT} + 1) * {_UNIT}, {_SIZE}) - 1 AS end_incl FROM ext), {_merged('aw', 'al')}"""
 
 
 @query(f"WITH {_ALIGN} SELECT * FROM al")
@@ -81,17 +81,17 @@ def chunk_align(spark, d):
     return rg.align(_extents(spark, d), _UNIT, F.lit(_SIZE), BY)
 
 
-@query(f"WITH {_ALIGN}, p AS (SELECT chain_id, seq, end_incl, unnest(range(start, end_incl + 1, {_UNIT})) AS plan_offset FROM al) SELECT chain_id, seq, plan_offset // {_UNIT} AS chunk_index, plan_offset, least({_UNIT}, end_incl - plan_offset + 1) AS plan_len FROM p")
+@query(f"WITH {_ALIGN}, p AS (SELECT chain_id, seq, region, end_incl, unnest(range(start, end_incl + 1, {_UNIT})) AS plan_offset FROM al) SELECT chain_id, seq, region, plan_offset // {_UNIT} AS chunk_index, plan_offset, least({_UNIT}, end_incl - plan_offset + 1) AS plan_len FROM p")
 def chunk_plan_rows(spark, d):
     return rg.chunk_plan(rg.align(_extents(spark, d), _UNIT, F.lit(_SIZE), BY), _UNIT, BY)
 
 
-@query(f"WITH {_MERGED} SELECT chain_id, seq, count(*) AS n_ranges, CAST(sum(end_incl - start + 1) AS BIGINT) AS covered_bytes, CAST(sum((end_incl - start + {bind.CHUNK}) // {bind.CHUNK}) AS BIGINT) AS planned_chunks FROM mg GROUP BY 1, 2")
+@query(f"WITH {_MERGED} SELECT chain_id, seq, region, count(*) AS n_ranges, CAST(sum(end_incl - start + 1) AS BIGINT) AS covered_bytes, CAST(sum((end_incl - start + {bind.CHUNK}) // {bind.CHUNK}) AS BIGINT) AS planned_chunks FROM mg GROUP BY 1, 2, 3")
 def extent_totals(spark, d):
     return rg.totals(rg.merge_ranges(_extents(spark, d), BY), bind.CHUNK, BY)
 
 
-@query(f"WITH {_COMPL}, a AS (SELECT chain_id, seq, sum(end_incl - start + 1) AS used FROM mg GROUP BY 1, 2), b AS (SELECT chain_id, seq, sum(end_incl - start + 1) AS free FROM co GROUP BY 1, 2) SELECT chain_id, seq, used + free = {(1 << 62) + 1} AS is_reconciled FROM a JOIN b USING (chain_id, seq)")
+@query(f"WITH {_COMPL}, a AS (SELECT chain_id, seq, region, sum(end_incl - start + 1) AS used FROM mg GROUP BY 1, 2, 3), b AS (SELECT chain_id, seq, region, sum(end_incl - start + 1) AS free FROM co GROUP BY 1, 2, 3) SELECT chain_id, seq, region, used + free = {(1 << 62) + 1} AS is_reconciled FROM a JOIN b USING (chain_id, seq, region)")
 def extent_reconciliation(spark, d):
     used = rg.merge_ranges(_extents(spark, d), BY).withColumn("side", F.lit("used")).unionByName(extents_complement(spark, d).withColumn("side", F.lit("free")))
     return used.groupBy(*BY).agg((F.sum(F.col("end_incl") - F.col("start") + 1) == (1 << 62) + 1).alias("is_reconciled"))
@@ -99,7 +99,7 @@ def extent_reconciliation(spark, d):
 
 @query(f"""WITH {ENTRIES}, s AS (SELECT DISTINCT chain_id, seq, region, chunk_index AS i FROM entries), g AS (SELECT chain_id, seq, region, coalesce(lag(i) OVER (PARTITION BY chain_id, seq, region ORDER BY i), -1) + 1 AS first_missing, i - 1 AS last_missing FROM s) SELECT * FROM g WHERE first_missing <= last_missing""")
 def plan_index_gaps(spark, d):
-    return rg.index_gaps(bind.entries(spark, d), [*BY, "region"], "chunk_index")
+    return rg.index_gaps(bind.entries(spark, d), BY, "chunk_index")
 
 
 _EVENTS = """io AS (SELECT event_id, ts, CAST(user_id % 4 AS VARCHAR) AS dev, CASE event_type WHEN 'view' THEN 'R' WHEN 'click' THEN 'W' WHEN 'purchase' THEN 'FWS' WHEN 'signup' THEN 'D' ELSE 'FR' END AS flags, CAST(floor(value * 100) AS BIGINT) AS sector, event_id % 64 AS sectors FROM events)"""
@@ -188,11 +188,11 @@ def duplicate_identity(spark, d):
     return dv.duplicate_identities(bind.members(spark, d), "chain_id", ["file_name", "set_id"])
 
 
-@query(f"""WITH {LISTING}, p AS (SELECT DISTINCT chain_id, decode(path) AS path, file_kind FROM listing WHERE seq = 0), m AS (SELECT DISTINCT chain_id, path FROM p WHERE file_kind = 2)
-SELECT DISTINCT p.chain_id, p.path FROM p LEFT JOIN m x ON x.chain_id = p.chain_id AND x.path = p.path WHERE x.path IS NULL AND EXISTS (SELECT 1 FROM m WHERE m.chain_id = p.chain_id AND starts_with(p.path, m.path || '/'))""")
+@query(f"""WITH {LISTING}, p AS (SELECT chain_id, seq, decode(path) AS path, file_kind FROM listing), m AS (SELECT chain_id, seq, path FROM p WHERE file_kind = 2)
+SELECT DISTINCT p.chain_id, p.seq, p.path FROM p LEFT JOIN m x ON x.chain_id = p.chain_id AND x.seq = p.seq AND x.path = p.path WHERE x.path IS NULL AND EXISTS (SELECT 1 FROM m WHERE m.chain_id = p.chain_id AND m.seq = p.seq AND starts_with(p.path, m.path || '/'))""")
 def nested_unmounted(spark, d):
-    rows = bind.listing(spark, d).where("seq = 0").select(bind.chain_text().alias("chain_id"), F.decode("path", "UTF-8").alias("path"), "file_kind").distinct()
-    return dv.nested_unmounted(rows.select("chain_id", "path"), rows.where("file_kind = 2").select("chain_id", "path").distinct(), ["chain_id"])
+    rows = bind.listing(spark, d).select(bind.chain_text().alias("chain_id"), "seq", F.decode("path", "UTF-8").alias("path"), "file_kind")
+    return dv.nested_unmounted(rows.select("chain_id", "seq", "path"), rows.where("file_kind = 2").select("chain_id", "seq", "path"), ["chain_id", "seq"])
 
 
 @query("""WITH x AS (SELECT r_name AS name, NULL AS parent, NULL AS number FROM region UNION ALL SELECT n_name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -210,15 +210,15 @@ def merged_mountpoints(spark, d):
     return dv.merged_mountpoints(rows, ["c_nationkey"], ["a", "b"]).select("c_nationkey", F.array_join("mountpoints", ",").alias("mounts"))
 
 
-@query(f"""WITH {ENTRIES}, p AS (SELECT *, row_number() OVER (PARTITION BY chain_id, seq ORDER BY region, chunk_index, plan_id) - 1 AS pos FROM entries), a AS (SELECT * FROM p WHERE seq = 0), b AS (SELECT * FROM p WHERE seq = 1)
-SELECT coalesce(a.chain_id, b.chain_id) AS chain_id, min(coalesce(a.pos, b.pos)) AS first_difference FROM a FULL JOIN b ON a.chain_id = b.chain_id AND a.pos = b.pos WHERE a.pos IS NULL OR b.pos IS NULL OR a.region <> b.region OR a.chunk_index <> b.chunk_index GROUP BY 1""")
+@query(f"""WITH {ENTRIES}, a AS (SELECT *, row_number() OVER (PARTITION BY chain_id, seq ORDER BY region, chunk_index, plan_id) - 1 AS pos FROM entries), b AS (SELECT * REPLACE (seq + 1 AS seq) FROM a)
+SELECT coalesce(a.chain_id, b.chain_id) AS chain_id, coalesce(a.seq, b.seq) AS seq, min(coalesce(a.pos, b.pos)) AS first_difference FROM a FULL JOIN b ON a.chain_id = b.chain_id AND a.seq = b.seq AND a.pos = b.pos WHERE a.pos IS NULL OR b.pos IS NULL OR a.region <> b.region OR a.chunk_index <> b.chunk_index GROUP BY 1, 2""")
 def layout_difference(spark, d):
     e = bind.entries(spark, d)
-    return dv.layout_difference(e.where("seq = 0"), e.where("seq = 1"), ["chain_id"], ["region", "chunk_index", "plan_id"], ["region", "chunk_index"])
+    return dv.layout_difference(e, e.withColumn("seq", F.col("seq") + 1), ["chain_id", "seq"], ["region", "chunk_index", "plan_id"], ["region", "chunk_index"])
 
 
-@query(f"""WITH {_EXT}, w AS (SELECT chain_id, seq, start, max(end_incl) OVER (PARTITION BY chain_id, seq ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ext),
-g AS (SELECT chain_id, seq, coalesce(e + 1, 0) AS gap_start, start - 1 AS gap_end FROM w UNION ALL SELECT chain_id, seq, max(end_incl) + 1, {_SIZE} - 1 FROM ext GROUP BY 1, 2) SELECT * FROM g WHERE gap_end >= gap_start AND gap_end - gap_start + 1 >= 0.02 * {_SIZE}""")
+@query(f"""WITH {_EXT}, w AS (SELECT chain_id, seq, region, start, max(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ext),
+g AS (SELECT chain_id, seq, region, coalesce(e + 1, 0) AS gap_start, start - 1 AS gap_end FROM w UNION ALL SELECT chain_id, seq, region, max(end_incl) + 1, {_SIZE} - 1 FROM ext GROUP BY 1, 2, 3) SELECT * FROM g WHERE gap_end >= gap_start AND gap_end - gap_start + 1 >= 0.02 * {_SIZE}""")
 def disk_gaps(spark, d):
     return dv.unallocated(_extents(spark, d), BY, F.lit(_SIZE))
 
@@ -234,10 +234,11 @@ def tile_widths(spark, d):
     return dv.tile_widths(tiles, ["disk"], "share").select("disk", "part", F.round(F.col("width") * 1e6).cast("bigint").alias("width_ppm"))
 
 
-@query(f"""WITH {CHUNKS}, {ENTRIES}, {_merged("(SELECT chain_id, seq, plan_offset AS start, plan_offset + plan_len - 1 AS end_incl FROM entries WHERE plan_len > 0)", 'mg')}
+@query(f"""WITH {CHUNKS}, {ENTRIES}, {_merged("(SELECT chain_id, seq, plan_offset AS start, plan_offset + plan_len - 1 AS end_incl FROM entries WHERE plan_len > 0)", 'mg', 'chain_id, seq')}
 SELECT chunk_id, mg.seq, greatest(chunk_offset, start) AS clip_start, least(chunk_offset + plain_len - 1, end_incl) AS clip_end FROM ck JOIN mg ON ck.chain_id = mg.chain_id AND ck.member_seq = mg.seq AND chunk_offset <= end_incl AND chunk_offset + plain_len - 1 >= start WHERE plain_len > 0""")
 def planned_overlap(spark, d):
-    reads = bind.entries(spark, d).where("plan_len > 0").select(*BY, F.col("plan_offset").alias("start"), (F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
-    areas = rg.merge_ranges(reads, BY).select(*BY, F.col("start").alias("lo"), F.col("end_incl").alias("hi"))
+    reads = bind.entries(spark, d).where("plan_len > 0").select("chain_id", "seq", F.col("plan_offset").alias("start"), (F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
+    on = ["chain_id", "seq"]
+    areas = rg.merge_ranges(reads, on).select(*on, F.col("start").alias("lo"), F.col("end_incl").alias("hi"))
     points = bind.chunks(spark, d).select("chunk_id", "chain_id", F.col("member_seq").cast("int").alias("seq"), F.col("chunk_offset").alias("start"), (F.col("chunk_offset") + F.col("plain_len") - 1).alias("end_incl"))
-    return rg.overlap_join(points, areas, BY, 256 * bind.CHUNK).select("chunk_id", "seq", "clip_start", "clip_end")
+    return rg.overlap_join(points, areas, on, 256 * bind.CHUNK).select("chunk_id", "seq", "clip_start", "clip_end")
