@@ -107,3 +107,18 @@ def test_ledger_fails_as_a_whole(spark, tmp_path):
         parsers.ledger(spark, str(tmp_path), "id int").collect()
     cached = spark.createDataFrame([('{"a": 1}',), ("broken",), (None,)], "j string")
     assert [r["parsed"]["a"] if r["parsed"] else None for r in parsers.cached_json(cached, "j", "a int").collect()] == [1, None, None]
+
+
+def test_file_tree(spark, tmp_path):
+    from vaultlens.sources.filetree import FileTree
+
+    for p in ("a/b", "skip", "z"):
+        (tmp_path / p).mkdir(parents=True)
+    (tmp_path / "a/b/f").write_bytes(b"12345")
+    (tmp_path / "skip/g").write_bytes(b"1")
+    (tmp_path / "link").symlink_to("a/b/f")
+    spark.dataSource.register(FileTree)
+    df = spark.read.format("filetree").option("excludes", f"{tmp_path}/skip:").load(str(tmp_path))
+    got = {bytes(r["path"]).decode(): (r["file_kind"], r["size"], bytes(r["parent_path"]).decode()) for r in df.collect()}
+    assert got == {"": (2, 0, ""), "a": (2, 0, ""), "a/b": (2, 0, "a"), "a/b/f": (1, 5, "a/b"), "link": (3, 0, ""), "z": (2, 0, "")}
+    assert bytes(df.where("file_kind = 3").first()["link_target"]) == b"a/b/f"

@@ -27,7 +27,7 @@ def repeated_nonces(records: DataFrame, by: list[str], nonce: str) -> DataFrame:
 
 
 def length_breaks(records: DataFrame, payload: str, planned: str) -> DataFrame:
-    """Records shorter than planned (a bad sector in the reference's sense) or longer."""
+    """Records shorter than planned or longer."""
     n = F.length(payload)
     return records.withColumn("check_id", F.when(n < F.col(planned), "short").when(n > F.col(planned), "long")).where("check_id is not null")
 
