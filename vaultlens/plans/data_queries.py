@@ -63,9 +63,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Full path from the root, number of descendants, and the link that closes a cycle."""
+    """Full path from the root and number of descendants."""
     h = hierarchy(_lines(spark, d), node="image_uuid", parent="parent_uuid")
-    return h.select(F.col("node").alias("image_uuid"), "path", F.col("depth").cast("int").alias("depth"), "n_descendants", "back_edge_from")
+    return h.select(F.col("node").alias("image_uuid"), "path", F.col("depth").cast("int").alias("depth"), "n_descendants")
+
+
+def p5_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """One row per cycle: the image whose parent link closes it, and that parent's end of the walk."""
+    h = hierarchy(_lines(spark, d), node="image_uuid", parent="parent_uuid", with_path=False)
+    return h.where("back_edge_from is not null").select(F.col("node").alias("image_uuid"), "back_edge_from")
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +83,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return ancestors(trees).select(F.col("ancestor").alias("ancestor_uuid"), F.col("node").alias("image_uuid"), F.col("distance").cast("int").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p4_found, p4_report, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p4_found, p4_report, p5_found, p5_paths, p5_cycles, p5_descendants)}
 
 def _hex(c: str) -> str:
     return f"replace(replace(replace(replace(lower(trim({c})), 'urn:uuid:', ''), '-', ''), '{{', ''), '}}', '')"
@@ -129,6 +135,10 @@ SELECT chain_id, decode(path) AS path, min(seq) AS first_seq, CASE WHEN count(ne
     "p4_found": _P4 + "SELECT ref_table, ref_key, reason, period_week FROM f",
     "p4_report": _P4 + "SELECT ref_table, period_week, reason, count(*) AS n_refs FROM f GROUP BY ALL",
     "p5_found": _WALK + "\nSELECT t.image_uuid, coalesce(w.root_uuid, 'cycle') AS root_uuid, CAST(coalesce(w.depth, -1) AS INTEGER) AS depth FROM t LEFT JOIN w USING (image_uuid)",
+    "p5_paths": _WALK + """,
+u AS (SELECT image_uuid, parent_uuid AS up FROM t WHERE parent_uuid IS NOT NULL UNION ALL SELECT u.image_uuid, t.parent_uuid FROM u JOIN t ON t.image_uuid = u.up JOIN w ON w.image_uuid = u.image_uuid WHERE t.parent_uuid IS NOT NULL),
+n AS (SELECT up, count(*) AS c FROM u JOIN w USING (image_uuid) GROUP BY 1)
+SELECT t.image_uuid, w.path, CAST(coalesce(w.depth, -1) AS INTEGER) AS depth, CASE WHEN w.depth IS NULL THEN -1 ELSE coalesce(n.c, 0) END AS n_descendants FROM t LEFT JOIN w USING (image_uuid) LEFT JOIN n ON n.up = t.image_uuid""",
     "p5_descendants": f"""WITH RECURSIVE {_LINKS},
 w AS (SELECT image_uuid, 0 AS depth FROM t WHERE parent_uuid IS NULL UNION ALL SELECT t.image_uuid, w.depth + 1 FROM w JOIN t ON t.parent_uuid = w.image_uuid),
 u AS (SELECT t.image_uuid, t.parent_uuid AS ancestor_uuid, 1 AS distance FROM t JOIN w USING (image_uuid) WHERE t.parent_uuid IS NOT NULL
