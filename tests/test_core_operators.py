@@ -192,3 +192,16 @@ def test_codecs(spark, body):
     assert (r["z"] is None and len(body) < 50 or r["z"] is None and len(set(body)) > 200) or (len(r["z"]) < len(body) and bytes(r["back"]) == body)
     key, iv, aad = F.lit(b"k" * 32), ck.nonce(F.lit(7)), F.lit(b"x")
     assert bytes(df.select(ck.unseal(ck.seal(F.col("b"), key, iv, aad), key, aad).alias("r")).first()["r"]) == body
+
+
+def test_partition_enrichment(spark):
+    make = spark.createDataFrame
+    parts = make([("sda", 1, 34), ("sda", 2, 99), ("sda", 3, 500)], "device string, number int, start_lba bigint")
+    kernel = make([("sda", 34, "sda1", "/dev/sda1", "8:1"), ("sda", 99, "sda2", "/dev/sda2", "8:2")], "device string, start_lba bigint, name string, path string, dev string")
+    ids = make([("/dev/sda1", "ext4", "u1")], "path string, fs_type string, fs_uuid string")
+    mounts = make([("8:1", "/dev/sda1", "/"), ("0:9", "/dev/sda1", "/b"), ("8:7", "x", "/c")], "dev string, source string, mount_point string")
+    holders = make([("sda2", "dm-0"), ("sda2", "dm-0")], "name string, holder string")
+    got = dv.enriched_partitions(parts, kernel, ids, mounts, holders)
+    assert [(r["number"], r["fs_type"], r["mountpoints"], r["holders"]) for r in got.orderBy("number").collect()] == [(1, "ext4", ["/", "/b"], []), (2, None, [], ["dm-0"]), (3, None, [], [])]
+    offline = got.where(dv.is_offline(F.col("mountpoints"), F.col("holders"))).collect()
+    assert [r["number"] for r in offline] == [3]

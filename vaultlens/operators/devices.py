@@ -60,3 +60,24 @@ def tile_widths(tiles: DataFrame, by: list[str], share: str) -> DataFrame:
     small, large = F.sum(F.when(F.col("is_small"), F.col("floor")).otherwise(0.0)).over(whole), F.sum(F.when(~F.col("is_small"), F.col(share)).otherwise(0.0)).over(whole)
     width = F.when(large == 0, 1.0 / F.count("*").over(whole)).when(F.col("is_small"), F.col("floor")).otherwise(F.col(share) * (1 - small) / large)
     return rows.withColumn("width", width).drop("floor", "is_small")
+
+
+def enriched_partitions(partitions: DataFrame, kernel: DataFrame, identities: DataFrame, mounts: DataFrame, holders: DataFrame) -> DataFrame:
+    """Partitions of a table with what the kernel, the identity scan, the mounts and the holders know of them.
+
+    ``partitions``: device, number, start_lba. ``kernel``: device, start_lba, name, path, dev. ``identities``: path, fs_type,
+    fs_uuid. ``mounts``: dev, source, mount_point. ``holders``: name, holder. A mount belongs by its device number or else by its source path:
+    two equi-joins in union, as an OR would compare all with all. Unknown parts stay null, lists empty.
+    """
+    base = partitions.join(kernel, ["device", "start_lba"], "left").join(identities, "path", "left")
+    by_dev = base.select("device", "number", "dev").join(mounts, "dev").select("device", "number", "mount_point")
+    by_path = base.select("device", "number", F.col("path").alias("source")).join(mounts, "source").select("device", "number", "mount_point")
+    mounted = by_dev.unionByName(by_path).distinct().groupBy("device", "number").agg(F.array_sort(F.collect_list("mount_point")).alias("mountpoints"))
+    held = holders.distinct().groupBy("name").agg(F.array_sort(F.collect_list("holder")).alias("holders"))
+    none = F.array().cast("array<string>")
+    out = base.join(mounted, ["device", "number"], "left").join(held, "name", "left")
+    return out.select("device", "number", "start_lba", "name", "path", "fs_type", "fs_uuid", F.coalesce("mountpoints", none).alias("mountpoints"), F.coalesce("holders", none).alias("holders"))
+
+
+def is_offline(mountpoints: Column, holders: Column) -> Column:
+    return (F.size(mountpoints) == 0) & (F.size(holders) == 0)
