@@ -73,7 +73,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str):
-    targets = [(r["mix_id"], r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").orderBy("mix_id", "source").collect()]  # fixed table of 17 rows
+    targets = [(r["mix_id"], r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").withColumn("source", F.lower(F.trim("source"))).orderBy("mix_id", "source").collect()]  # fixed table of 17 rows
     docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text").where(F.col("source").isin([t[1] for t in targets]))
     sizes = cut(token_counts(docs, "text", ["doc_id", "source"]), "sizes")
     return mixing.mix(sizes, targets)[0], targets
