@@ -35,6 +35,12 @@ def _extents(spark, d):
     return bind.entries(spark, d).where("plan_len > 0").select(*BY, F.col("plan_offset").alias("start"), (F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
 
 
+def _device_ends(extents):
+    """Extents with the size of their device: the end of the furthest read that any snapshot of the chain plans in the region."""
+    ends = extents.groupBy("chain_id", "region").agg((F.max("end_incl") + 1).alias("size"))
+    return extents.join(ends, ["chain_id", "region"])
+
+
 _EXT = f"{ENTRIES}, ext AS (SELECT chain_id, seq, region, plan_offset AS start, plan_offset + plan_len - 1 AS end_incl FROM entries WHERE plan_len > 0 AND plan_offset IS NOT NULL)"
 
 
@@ -78,12 +84,12 @@ _ALIGN = f"""{_EXT}, aw AS (SELECT chain_id, seq, region, (start // {_UNIT}) * {
 
 @query(f"WITH {_ALIGN} SELECT * FROM al")
 def chunk_align(spark, d):
-    return rg.align(_extents(spark, d), _UNIT, F.lit(_SIZE), BY)
+    return rg.align(_device_ends(_extents(spark, d)), _UNIT, F.col("size"), BY)
 
 
 @query(f"WITH {_ALIGN}, p AS (SELECT chain_id, seq, region, end_incl, unnest(range(start, end_incl + 1, {_UNIT})) AS plan_offset FROM al) SELECT chain_id, seq, region, plan_offset // {_UNIT} AS chunk_index, plan_offset, least({_UNIT}, end_incl - plan_offset + 1) AS plan_len FROM p")
 def chunk_plan_rows(spark, d):
-    return rg.chunk_plan(rg.align(_extents(spark, d), _UNIT, F.lit(_SIZE), BY), _UNIT, BY)
+    return rg.chunk_plan(chunk_align(spark, d), _UNIT, BY)
 
 
 @query(f"WITH {_MERGED} SELECT chain_id, seq, region, count(*) AS n_ranges, CAST(sum(end_incl - start + 1) AS BIGINT) AS covered_bytes, CAST(sum((end_incl - start + {bind.CHUNK}) // {bind.CHUNK}) AS BIGINT) AS planned_chunks FROM mg GROUP BY 1, 2, 3")
@@ -220,7 +226,7 @@ def layout_difference(spark, d):
 @query(f"""WITH {_EXT}, w AS (SELECT chain_id, seq, region, start, max(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ext),
 g AS (SELECT chain_id, seq, region, coalesce(e + 1, 0) AS gap_start, start - 1 AS gap_end FROM w UNION ALL SELECT chain_id, seq, region, max(end_incl) + 1, {_SIZE} - 1 FROM ext GROUP BY 1, 2, 3) SELECT * FROM g WHERE gap_end >= gap_start AND gap_end - gap_start + 1 >= 0.02 * {_SIZE}""")
 def disk_gaps(spark, d):
-    return dv.unallocated(_extents(spark, d), BY, F.lit(_SIZE))
+    return dv.unallocated(_device_ends(_extents(spark, d)), BY, F.col("size"))
 
 
 @query("""WITH t AS (SELECT n_regionkey AS disk, n_nationkey AS part, (n_nationkey + 1.0) / sum(n_nationkey + 1.0) OVER (PARTITION BY n_regionkey) AS share, least(0.08, 1.0 / count(*) OVER (PARTITION BY n_regionkey)) AS fl FROM nation),
