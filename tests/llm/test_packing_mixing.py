@@ -116,6 +116,20 @@ def test_mix(spark):
         assert abs(line["a"] - 0.5 * total["all"]) <= 2 * 64 + 120
 
 
+def test_a_tiny_source_does_not_shrink_the_mix(spark):
+    targets = [(1, "a", 0.5, 1), (1, "b", 0.3, 2), (1, "tiny", 0.2, 3)]
+    aims = [mixing.amounts(targets, {"a": 50_000, "b": 20_000, "tiny": n}) for n in (0, 1, 40)]
+    assert [(x[1, "a"], x[1, "b"], x[1, "tiny"]) for x in aims] == [(50_000, 30_000, n) for n in (0, 3, 120)]
+    # a source that is merely scarce still keeps all shares, and a rich one of tiny share changes nothing
+    assert mixing.amounts(targets, {"a": 50_000, "b": 20_000, "tiny": 4_000}) == {(1, "a"): 30_000, (1, "b"): 18_000, (1, "tiny"): 12_000}
+    assert mixing.amounts([(1, "a", 0.5, 1), (1, "b", 0.499, 1), (1, "rich", 0.001, 1)], {"a": 500, "b": 499, "rich": 100_000}) == {(1, "a"): 500, (1, "b"): 499, (1, "rich"): 1}
+    sizes = [(i, "a", 50) for i in range(1000)] + [(2000 + i, "b", 50) for i in range(400)] + [(3000, "tiny", 40)]
+    df = cut(spark.createDataFrame(sizes, "doc_id bigint, source string, n_tokens bigint"))
+    got = {r["source"]: r for r in mixing.shares(mixing.mix(df, targets, block=64)[0], targets).collect()}
+    assert {s: (r["n_tokens"], r["repeats"]) for s, r in got.items()} == {"a": (50_000, 1), "b": (30_000, 2), "tiny": (120, 3)}
+    assert got["tiny"]["actual_share"] == pytest.approx(120 / 80_120)
+
+
 def test_mix_of_nothing(spark):
     drawn, _ = mixed(spark, [])
     assert drawn.count() == 0

@@ -59,14 +59,28 @@ def schedule(quota: list[int]) -> list[list[int]]:
     return slots
 
 
-def amounts(targets: list[tuple[int, str, float, int]], have: dict[str, int]) -> dict[tuple[int, str], int]:
-    """Tokens to draw per (mix, source): the largest mix in which every source that has tokens
-    gets its share and none is repeated more often than allowed. A source without tokens gets 0."""
+def amounts(targets: list[tuple[int, str, float, int]], have: dict[str, int], too_small: float = 0.25) -> dict[tuple[int, str], int]:
+    """Tokens to draw per (mix, source).
+
+    A source supports the mix size at which its share uses up its texts and their repeats. The usual size is the
+    median of what the sources support; a source votes with its share, or with its part of all that is there
+    if that is less, so a source with hardly a text and a rich one of small share count for little. A
+    source that supports less than ``too_small`` of the usual size, an absent one included, doesn't limit the
+    mix: it gives all it has, and the actual shares show what is short. The mix is the largest in which every
+    other source gets its share and none is repeated more often than allowed.
+    """
     out: dict[tuple[int, str], int] = {}
     for mix in {m for m, *_ in targets}:
-        rows = [(s, w, r) for m, s, w, r in targets if m == mix]
-        size = min((r * have[s] / w for s, w, r in rows if have.get(s) and w > 0 and r > 0), default=0)
-        out |= {(mix, s): round(w * size) if have.get(s) and r > 0 else 0 for s, w, r in rows}
+        rows = [(s, w, r * have.get(s, 0)) for m, s, w, r in targets if m == mix]
+        total = sum(c for *_, c in rows)
+        lines = sorted(((c / w, min(w, c / total)) for _, w, c in rows if w > 0 and c > 0), reverse=True)
+        reach, usual = 0.0, 0.0
+        for supported, vote in lines:
+            reach, usual = reach + vote, supported
+            if reach >= sum(v for _, v in lines) / 2:
+                break
+        size = min((n for n, _ in lines if n >= too_small * usual), default=0)
+        out |= {(mix, s): min(round(w * size), c) for s, w, c in rows}
     return out
 
 
@@ -101,8 +115,8 @@ def mix(sizes: DataFrame, targets: list[tuple[int, str, float, int]], block: int
     """Draw texts so that each source has its share of the tokens of each mix.
 
     ``sizes``: doc_id bigint (unique), source string, n_tokens bigint; a written table. ``targets``: (mix_id,
-    source, target_share, max_repeats), a few rows. Each mix is as large as its scarcest source
-    with tokens allows (``amounts``); a source without tokens is left at 0. The texts of a source are
+    source, target_share, max_repeats), a few rows. Each mix is as large as its sources allow, without those
+    that are far too small for it, which give all they have (``amounts``). The texts of a source are
     drawn in hash order, again from the start when they are used up, until the source's amount is
     reached; the text that crosses it is drawn whole if most of it lies before, so a source is off by at
     most half a text. Null and zero sizes are left out; an empty table gives no rows.
