@@ -65,6 +65,21 @@ def test_pack_one_hot_length_and_small_patterns(spark):
     assert next(check(rows, sizes, [(7, 300)])) <= 1.12 * sum(n for _, n in sizes) / 300
 
 
+@pytest.mark.parametrize("capacity", [512, 2048])
+def test_what_is_left_for_best_fit_does_not_grow_with_the_items(capacity):
+    dice = np.random.default_rng(4)
+    lengths, counts = np.unique(np.minimum(dice.lognormal(5, 0.8, 10_000).astype(int) + 1, capacity - 1), return_counts=True)
+    cls = packing.length_classes(lengths, counts, 128)
+    sizes = np.array([lengths[cls == k].max() for k in range(cls.max() + 1)])
+    for times in (1, 50):
+        demand = np.bincount(cls, counts * times).astype(np.int64)
+        patterns, often = packing.fractional_patterns(sizes, demand, capacity)
+        assert (often @ patterns == pytest.approx(demand))
+        rest = demand - packing.rounded(patterns, often, demand) @ patterns
+        assert (rest >= 0).all() and (rest @ sizes) <= len(patterns) * capacity
+    assert rest.sum() < 0.02 * demand.sum()
+
+
 def test_pack_nothing(spark):
     assert packed(spark, [], [(1, 512)]) == []
     assert packed(spark, [(1, 0)], [(1, 512)]) == [(1, 0, 1, 0, 0)]

@@ -53,23 +53,26 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, bounds: np.ndarray, capa
 def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 6.0, most: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Configuration LP (cover every class's demand with the fewest containers) by multiplicative weights.
 
-    A class weighs exp(-rate * coverage) per item demanded. The pattern that weighs most
-    is priced by ``best_pattern`` and taken as often as brings its tightest class forward by ``step``. Ends
-    when all demand is covered or ``most`` patterns were priced. Returns patterns and how often each is used.
+    A class weighs exp(-rate * coverage) per item demanded, and nothing once its demand is covered. The pattern that
+    weighs most is priced by ``best_pattern`` and taken as often as brings its tightest class forward by ``step``
+    or covers it. Ends when all demand is covered, each just once. So every class is priced for at most 1 / step + 1
+    times, whatever the number of items; after each ``most`` pricings the step is doubled. Returns patterns and how
+    often each is used.
     """
     cover = np.zeros(len(sizes))
     patterns: dict[bytes, float] = {}
-    for _ in range(most):
-        if (cover >= 1).all():
-            break
-        weight = np.exp(-rate * cover) / demand
-        a = best_pattern(sizes, weight * (cover < 1 + step) + 1e-12 * sizes / capacity / demand, demand, capacity)
+    n = 0
+    while (cover < 1).any():
+        weight = np.exp(-rate * cover) / demand + 1e-12 * sizes / capacity / demand
+        a = best_pattern(sizes, weight * (cover < 1), demand, capacity)
         used = a > 0
-        often = step * float((demand[used] / a[used]).min())
+        often = float((np.minimum(step * 2 ** (n // most), 1 - cover[used]) * demand[used] / a[used]).min())
         cover += a * often / demand
+        cover[cover > 1 - 1e-9] = 1
         patterns[a.tobytes()] = patterns.get(a.tobytes(), 0.0) + often
+        n += 1
     rows = np.array([np.frombuffer(p, np.int64) for p in patterns]).reshape(-1, len(sizes))
-    return rows, np.array(list(patterns.values())) / max(1.0, float(cover.min()) if len(cover) else 1.0)
+    return rows, np.array(list(patterns.values()))
 
 
 def rounded(patterns: np.ndarray, often: np.ndarray, demand: np.ndarray) -> np.ndarray:
@@ -164,8 +167,9 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 128
     The driver sees the histogram only (at most the capacity's number of rows) and decides how many
     containers of which pattern there are; each item then finds its container from its rank within
     its length class. Ranks are counted in 32 hash buckets per length, so that one length may hold
-    any share of the items. At most ``most_patterns`` patterns are priced, so what is left for
-    best fit on the driver is under one container per pattern, whatever the number of items.
+    any share of the items. Patterns are priced until they cover all items, in larger steps after each
+    ``most_patterns``, and only rounding leaves something for best fit on the driver: under one container per
+    pattern, whatever the number of items.
     """
     spark = sizes.sparkSession
     spec = F.explode(F.array(*[F.struct(F.lit(int(s)).alias("spec_id"), F.lit(int(c)).cast("bigint").alias("capacity")) for s, c in specs]))
