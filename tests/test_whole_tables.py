@@ -21,3 +21,11 @@ def test_reads_beyond_4_gib_are_aligned(spark, tmp_path):
     assert got == [("1", 0, 0, unit - 1), ("1", 0, far, far + 106), ("1", 1, 3 * unit, 4 * unit - 1), ("2", 0, 2**32, 2**32 + 49)]
     assert rq.chunk_plan_rows(spark, d).agg(F.sum("plan_len")).first()[0] == 2 * unit + 107 + 50
     assert [tuple(r) for r in rq.disk_gaps(spark, d).where("seq = 1 and chain_id like '%1'").select("gap_start", "gap_end").collect()] == [(4 * unit, far + 106)]
+
+
+def test_quiet_windows_span_the_whole_table(spark, tmp_path):
+    events = spark.createDataFrame([(1, "2024-01-01 00:10:00", 0, "click", 1.0), (2, "2024-01-12 03:10:00", 1, "click", 1.0)], "event_id bigint, ts string, user_id bigint, event_type string, value double")
+    events.withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = rq.quiet_windows(spark, str(tmp_path)).collect()
+    assert len(got) == 2 * (11 * 48 + 7) and sum(r["n_writes"] for r in got) == 2
+    assert sorted((r["dev"], f"{r['t0']:%d %H:%M}") for r in got if not r["is_quiet"]) == [("0", "01 00:00"), ("1", "12 03:00")]

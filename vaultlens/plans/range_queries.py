@@ -144,9 +144,12 @@ def dirty_bitmap_union(spark, d):
 @query(f"""WITH {_EVENTS}, w AS (SELECT CAST(x AS VARCHAR) AS dev, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL (y) MINUTE AS t0, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL (y + 30) MINUTE AS t1 FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(0, 600, 30)) AS y))
 SELECT w.dev, t0, t1, count(ts) AS n_writes, count(ts) = 0 AS is_quiet FROM w LEFT JOIN (SELECT * FROM io WHERE sectors <> 0 AND flags IN ('W', 'FWS', 'D')) i ON i.dev = w.dev AND ts BETWEEN t0 AND t1 GROUP BY 1, 2, 3""")
 def quiet_windows(spark, d):
-    t0 = F.timestamp_seconds(F.lit(1704844800) + F.floor(F.col("id") / 4) * 1800)
-    windows = spark.range(80).select((F.col("id") % 4).cast("string").alias("dev"), t0.alias("t0"), (t0 + F.expr("interval 30 minutes")).alias("t1"))
-    return tr.quiet(_io(spark, d), windows)
+    io, half = _io(spark, d), 1800
+    first, last = (rg.idiv(F.unix_seconds(f("ts").cast("timestamp")), half) * half for f in (F.min, F.max))
+    starts = io.agg(first.alias("first"), last.alias("last")).where("first is not null").select(F.explode(F.sequence("first", "last", F.lit(half).cast("bigint"))).alias("s"))
+    devices = io.where("dev is not null").select("dev").distinct()
+    windows = devices.crossJoin(starts).select("dev", F.timestamp_seconds("s").alias("t0"), F.timestamp_seconds(F.col("s") + half).alias("t1"))
+    return tr.quiet(io, windows)
 
 
 @query("""WITH l AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 3600000000 THEN 1 ELSE 0 END AS n FROM events),
