@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vaultlens.plans import bind
+from vaultlens.plans import file_queries as fq
 from vaultlens.plans import range_queries as rq
 
 
@@ -29,3 +30,16 @@ def test_quiet_windows_span_the_whole_table(spark, tmp_path):
     got = rq.quiet_windows(spark, str(tmp_path)).collect()
     assert len(got) == 2 * (11 * 48 + 7) and sum(r["n_writes"] for r in got) == 2
     assert sorted((r["dev"], f"{r['t0']:%d %H:%M}") for r in got if not r["is_quiet"]) == [("0", "01 00:00"), ("1", "12 03:00")]
+
+
+def test_a_file_with_other_xattrs_is_changed(spark, tmp_path):
+    cells = "entry_id bigint, seq int, path string, xattrs array<struct<name:binary,val:binary>>"
+    a, b, c = (b"a", b"1"), (b"b", b"2"), (b"b", b"3")
+    rows = [(i, s, p, x) for i, (s, p, x) in enumerate([(0, "same", [a, b]), (1, "same", [b, a]), (0, "other", [a, b]), (1, "other", [a, c]), (0, "none", None), (1, "none", None), (0, "gone", [a]), (1, "gone", None)])]
+    df = spark.createDataFrame(rows, cells).withColumn("path", F.col("path").cast("binary")).withColumn("chain_id", F.lit(f"{1:032x}")).withColumn("delivered_unix", F.lit(1).cast("bigint"))
+    for name, kind in [("parent_path", "binary"), ("file_kind", "tinyint"), ("mode", "int"), ("uid", "bigint"), ("gid", "bigint"), ("mtime_sec", "bigint"), ("mtime_nsec", "int"), ("size", "bigint"), ("rdev", "bigint"), ("hardlink_group", "bigint"), ("link_target", "binary")]:
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    df.write.parquet(f"{tmp_path}/file_entries.parquet")
+    got = {r["path"]: r["status"] for r in fq.file_incremental(spark, str(tmp_path)).collect()}
+    assert got == {"same": "unchanged", "other": "changed", "none": "unchanged", "gone": "changed"}
+    assert {r["status"]: r["n_files"] for r in fq.file_differential(spark, str(tmp_path)).collect()} == {"unchanged": 2, "changed": 2}

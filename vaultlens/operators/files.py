@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 REGULAR, DIRECTORY, SYMLINK, HARDLINK, SPECIAL = 1, 2, 3, 4, 5
 # The fields whose equality makes a file unchanged.
-COMPARED = ["file_kind", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "size", "rdev", "hardlink_group", "link_target"]
+COMPARED = ["file_kind", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "size", "rdev", "hardlink_group", "link_target", "xattrs"]
 
 
 def parent_of(path: Column) -> Column:

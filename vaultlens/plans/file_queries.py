@@ -72,13 +72,18 @@ def inode_groups(spark, d):
     return _shown(rows, _path(), "is_first", "link_group")
 
 
-_SAME = " AND ".join(f"n.{c} IS NOT DISTINCT FROM o.{c}" for c in fl.COMPARED)
+_SAME = " AND ".join(f"n.{c} IS NOT DISTINCT FROM o.{c}" for c in fl.COMPARED if c != "xattrs")  # the SQL compares the fields that LISTING orders by
+
+
+def _with_xattrs(spark, d):
+    """The listing with each entry's extended attributes in order of their names."""
+    return bind.listing(spark, d, ("xattrs",)).withColumn("xattrs", F.array_sort("xattrs"))
 
 
 @query(f"""WITH {LISTING} SELECT n.chain_id, n.seq, decode(n.path) AS path, n.file_kind, n.size, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status
 FROM listing n LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = n.seq - 1 AND o.path = n.path WHERE n.seq > 0""")
 def file_incremental(spark, d):
-    now = bind.listing(spark, d)
+    now = _with_xattrs(spark, d)
     rows = fl.incremental(now.where("seq > 0"), now.withColumn("seq", F.col("seq") + 1), ["path"], BY)
     return _shown(rows, _path(), "file_kind", "size", "status")
 
@@ -86,7 +91,7 @@ def file_incremental(spark, d):
 @query(f"""WITH {LISTING} SELECT n.chain_id, n.seq, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n_files, sum(n.size) AS bytes
 FROM listing n LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = 0 AND o.path = n.path WHERE n.seq > 0 GROUP BY 1, 2, 3""")
 def file_differential(spark, d):
-    now = bind.listing(spark, d)
+    now = _with_xattrs(spark, d)
     rows = fl.incremental(now.where("seq > 0"), now.where("seq = 0"), ["path"], ["chain_key"], keep=["seq"])
     return _shown(rows.groupBy(*BY, "status").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes")), "status", "n_files", "bytes")
 
