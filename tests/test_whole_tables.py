@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vaultlens.operators.hierarchy import hierarchy
 from vaultlens.plans import bind
 from vaultlens.plans import file_queries as fq
 from vaultlens.plans import range_queries as rq
@@ -43,3 +44,10 @@ def test_a_file_with_other_xattrs_is_changed(spark, tmp_path):
     got = {r["path"]: r["status"] for r in fq.file_incremental(spark, str(tmp_path)).collect()}
     assert got == {"same": "unchanged", "other": "changed", "none": "unchanged", "gone": "changed"}
     assert {r["status"]: r["n_files"] for r in fq.file_differential(spark, str(tmp_path)).collect()} == {"unchanged": 2, "changed": 2}
+
+
+def test_cycles_do_not_depend_on_the_size_of_their_component(spark):
+    links = spark.createDataFrame([("d", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("e", "a"), ("s", "s"), ("r", None), ("t", "r")], "node string, parent string")
+    small, large = (sorted(map(tuple, hierarchy(links, node="node", parent="parent", component_rows=n).where("back_edge_from is not null").select("node", "back_edge_from").collect())) for n in (1000, 1))
+    assert small == [("b", "c"), ("s", "s")]
+    assert large == small

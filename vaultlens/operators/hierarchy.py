@@ -77,7 +77,8 @@ def _walk(batches: Iterator[pd.DataFrame], sep: str, with_path: bool) -> Iterato
     below = np.zeros(n, np.int64)
     back = np.full(n, -1, np.int64)
     path: list[str | None] = [None] * n
-    starts = [*np.flatnonzero(up < 0), *np.flatnonzero(up >= 0)]
+    # a cycle is entered at its label, its smallest node, which is then the one whose link closes it
+    starts = [*np.flatnonzero(up < 0), *np.flatnonzero((rows["node"] == rows["label"]).to_numpy() & (up >= 0)), *np.flatnonzero(up >= 0)]
     for start in starts:
         if colour[start] != WHITE:
             continue
@@ -116,7 +117,7 @@ def hierarchy(links: DataFrame, *, node: str, parent: str, component_rows: int =
     A node with several rows counts once; if they name different parents, the smallest
     non-null one. A parent that is null or is no node itself makes a root of depth 0. A
     node whose line never ends has no root and no path, depth -1 and n_descendants -1;
-    of each cycle one node also tells the node whose link closes it (back_edge_from).
+    of each cycle the smallest node also tells its parent, with which the cycle closes (back_edge_from).
     Rows without node are left out; an empty table gives no rows; other columns are
     ignored.
 
@@ -125,7 +126,7 @@ def hierarchy(links: DataFrame, *, node: str, parent: str, component_rows: int =
     Components are found by pointer doubling, then whole components are co-located
     and walked depth first. A component of more than ``component_rows`` nodes is never
     gathered: the doubled pointers already give its roots, depths and cycles, path and
-    descendants come from the same doubling (``_large``), and no back edge is told.
+    descendants come from the same doubling (``_large``).
     """
     rows = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
     base = cut(rows, "links")
@@ -137,7 +138,7 @@ def hierarchy(links: DataFrame, *, node: str, parent: str, component_rows: int =
     small = comp.join(large, "label", "left_anti") if some else comp
     schema = "node string, root string, depth bigint, path string, n_descendants bigint, back_edge_from string"
     n = shuffle_partitions(base)
-    out = small.select("node", "parent", "label").repartition(n, "label").select("node", "parent").mapInPandas(lambda it: _walk(it, sep, with_path), schema)
+    out = small.select("node", "parent", "label").repartition(n, "label").mapInPandas(lambda it: _walk(it, sep, with_path), schema)
     return out.unionByName(_large(comp.join(large, "label", "left_semi"), sep, with_path)) if some else out
 
 
@@ -149,7 +150,7 @@ def _large(comp: DataFrame, sep: str, with_path: bool) -> DataFrame:
     path = lines.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("up"))
     text = F.concat_ws(sep, F.transform(F.coalesce("up", F.array()), lambda x: x["ancestor"]), F.col("node")) if with_path else F.lit(None).cast("string")
     done = trees.select("node", F.col("label").alias("root"), F.col("steps").alias("depth")).join(path, "node", "left").join(counts, "node", "left").select("node", "root", "depth", text.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.lit(None).cast("string").alias("back_edge_from"))
-    return done.unionByName(comp.where("cyclic").select("node", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("path"), F.lit(-1).cast("bigint").alias("n_descendants"), F.lit(None).cast("string").alias("back_edge_from")))
+    return done.unionByName(comp.where("cyclic").select("node", F.lit(None).cast("string").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("path"), F.lit(-1).cast("bigint").alias("n_descendants"), F.when(F.col("node") == F.col("label"), F.col("parent")).alias("back_edge_from")))
 
 
 def ancestors(trees: DataFrame, max_rounds: int = 64) -> DataFrame:
