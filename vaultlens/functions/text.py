@@ -94,15 +94,16 @@ def mbr_name(code: Column) -> Column:
 
 
 def sector_count(size: Column, block: Column) -> Column:
-    return F.ceil(size / block)
+    return F.call_function("div", size + block - 1, block)
 
 
 def align_up(n: Column, unit: Column) -> Column:
-    return F.floor((n + unit - 1) / unit) * unit
+    return F.call_function("div", n + unit - 1, unit) * unit
 
 
 def percent(done: Column, total: Column) -> Column:
-    return F.when(total > 0, F.floor(done * 100 / total))
+    """Whole per cent, rounded down; the product is a decimal, as 100 times a count may exceed 64 bits."""
+    return F.when(total > 0, F.call_function("div", done.cast("decimal(20,0)") * 100, total.cast("decimal(20,0)")).cast("bigint"))
 
 
 def keyed_hash(key: str, data: Column) -> Column:

@@ -40,6 +40,22 @@ def scan_diff(parent: DataFrame, scan: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, "old_state", "new_state", outcome.alias("outcome"))
 
 
+def parent_states(own: DataFrame, by: list[str], key: list[str], seq: str, payload: list[str]) -> DataFrame:
+    """For every member present (``by``, ``seq``) but the first the merged state of all members before it: the newest
+    earlier entry of each key. ``own`` holds one row per member and key. Members that never came leave no gap.
+
+    The result is as large as all parent states together, which is what a full comparison has to read.
+    """
+    members = own.select(*by, seq).distinct()
+    since = own.groupBy(*by, *key).agg(F.min(seq).alias("since"))
+    cells = since.join(members, by).where(F.col(seq) > F.col("since")).select(*by, seq, *key)
+    line = Window.partitionBy(*by, *key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    held = own.select(*by, seq, *key, F.struct(*payload).alias("e"), F.lit(False).alias("asked")).unionByName(cells.select(*by, seq, *key, F.lit(None).cast(own.select(F.struct(*payload).alias("e")).schema["e"].dataType).alias("e"), F.lit(True).alias("asked")))
+    # an asked row and the member's own entry share a seq: the asked one comes first, so that it sees earlier members only
+    line = line.orderBy(seq, F.desc("asked"))
+    return held.withColumn("e", F.when(F.col("asked"), F.last("e", ignorenulls=True).over(line))).where("asked").select(*by, seq, *key, "e.*")
+
+
 def upsert(parent: DataFrame, delta: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     """The parent's rows with the delta's in place of those of equal key, and the delta's new ones."""
     rows = parent.select(*key, F.lit(0).alias("pri"), *payload).unionByName(delta.select(*key, F.lit(1).alias("pri"), *payload))
@@ -115,8 +131,11 @@ def newest_chain(complete: DataFrame) -> DataFrame:
 
 def ancestry(members: DataFrame) -> DataFrame:
     """Per member the members of its chain with seq at or below its own, and whether one is missing."""
-    line = Window.partitionBy("chain_id").orderBy("seq_in_chain").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return members.select("chain_id", "seq_in_chain", "image_uuid", F.count("*").over(line).alias("n_ancestry"), F.sum("size_bytes").over(line).alias("ancestry_bytes"), (F.size(F.collect_set("seq_in_chain").over(line)) != F.col("seq_in_chain") + 1).alias("has_gap"))
+    line = Window.partitionBy("chain_id").orderBy("seq_in_chain")
+    upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # distinct seqs so far; null ones come first and share the first rank
+    distinct = F.dense_rank().over(line) - F.max(F.when(F.col("seq_in_chain").isNull(), 1).otherwise(0)).over(Window.partitionBy("chain_id"))
+    return members.select("chain_id", "seq_in_chain", "image_uuid", F.count("*").over(upto).alias("n_ancestry"), F.sum("size_bytes").over(upto).alias("ancestry_bytes"), (distinct != F.col("seq_in_chain") + 1).alias("has_gap"))
 
 
 def catalog_difference(a: DataFrame, b: DataFrame, compared: list[str]) -> DataFrame:

@@ -57,6 +57,7 @@ def listing(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFra
 
 LISTING = f"""listing AS (SELECT * FROM (SELECT * REPLACE ({_hex('chain_id')} AS chain_id), row_number() OVER (PARTITION BY {_hex('chain_id')}, seq, path
   ORDER BY delivered_unix DESC NULLS LAST, {', '.join(f'{c} DESC NULLS LAST' for c in ENTRY)}) AS rn FROM file_entries) WHERE rn = 1)"""
+STEPS = "steps AS (SELECT chain_id, seq, lag(seq) OVER (PARTITION BY chain_id ORDER BY seq) AS prev_seq, min(seq) OVER (PARTITION BY chain_id) AS first_seq FROM (SELECT DISTINCT chain_id, seq FROM listing))"
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

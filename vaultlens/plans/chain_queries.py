@@ -11,6 +11,7 @@ from ..operators import chains as ch
 from ..operators import retention as rt
 from ..operators import verify as vf
 from ..operators.ranges import index_gaps
+from ..session import cut
 from ..sources import table
 from . import bind
 from .bind import CHUNKS, ENTRIES, MEM, NEWEST, SCANS
@@ -56,14 +57,16 @@ def own_payloads(spark, d):
 
 
 def _halves(spark, d):
-    """Every member's own entries, and those of the member before it as its parent's state."""
+    """Every member's own entries, and as its parent's state the merged entries of all members before it."""
     key = ["chain_id", "seq", "region", "chunk_index"]
     own = ch.newest_state(bind.entries(spark, d), key, "received_unix", ["plan_id", "state", "plan_offset"]).withColumn("hash", F.col("plan_offset").cast("string"))
-    return own.withColumn("seq", F.col("seq") + 1), own, key
+    own = cut(own, "own")
+    return ch.parent_states(own, ["chain_id"], ["region", "chunk_index"], "seq", ["plan_id", "state", "plan_offset", "hash"]), own, key
 
 
 _HALVES = f"""WITH {ENTRIES}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, seq, region, chunk_index ORDER BY received_unix DESC, plan_id DESC) AS rn FROM entries) WHERE rn = 1),
-o AS (SELECT * REPLACE (seq + 1 AS seq) FROM n)"""
+cells AS (SELECT f.chain_id, s.seq, f.region, f.chunk_index FROM (SELECT chain_id, region, chunk_index, min(seq) AS since FROM n GROUP BY 1, 2, 3) f JOIN (SELECT DISTINCT chain_id, seq FROM n) s ON s.chain_id = f.chain_id AND s.seq > f.since),
+o AS (SELECT c.chain_id, c.seq, c.region, c.chunk_index, n.plan_id, n.state, n.plan_offset FROM cells c ASOF JOIN n ON c.chain_id = n.chain_id AND c.region = n.region AND c.chunk_index = n.chunk_index AND c.seq > n.seq)"""
 _DIFF = _HALVES + """, x AS (SELECT chain_id, seq, region, chunk_index, o.state AS old_state, n.state AS new_state, o.plan_offset AS oh, n.plan_offset AS nh FROM o FULL JOIN n USING (chain_id, seq, region, chunk_index)),
 y AS (SELECT *, CASE WHEN new_state IS NULL THEN CASE WHEN coalesce(old_state, 0) = 0 THEN 'inherited' ELSE 'unused' END
   WHEN (coalesce(old_state, 0) = 1 AND new_state = 1 AND oh IS NOT DISTINCT FROM nh) OR (coalesce(old_state, 0) = new_state AND new_state IN (0, 2)) THEN 'inherited'

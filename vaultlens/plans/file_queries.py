@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking as ck
 from ..operators import files as fl
 from ..operators import ranges as rg
+from ..session import cut
 from ..sources import parsers, table
 from . import bind
-from .bind import CHUNKS, LISTING, MEM
+from .bind import CHUNKS, LISTING, MEM, STEPS
+from .sizing import bounded_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,7 +74,7 @@ def inode_groups(spark, d):
     return _shown(rows, _path(), "is_first", "link_group")
 
 
-_SAME = " AND ".join(f"n.{c} IS NOT DISTINCT FROM o.{c}" for c in fl.COMPARED if c != "xattrs")  # the SQL compares the fields that LISTING orders by
+_SAME = " AND ".join(f"n.{c} IS NOT DISTINCT FROM o.{c}" if c != "xattrs" else "list_sort(n.xattrs) IS NOT DISTINCT FROM list_sort(o.xattrs)" for c in fl.COMPARED)
 
 
 def _with_xattrs(spark, d):
@@ -80,19 +82,31 @@ def _with_xattrs(spark, d):
     return bind.listing(spark, d, ("xattrs",)).withColumn("xattrs", F.array_sort("xattrs"))
 
 
-@query(f"""WITH {LISTING} SELECT n.chain_id, n.seq, decode(n.path) AS path, n.file_kind, n.size, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status
-FROM listing n LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = n.seq - 1 AND o.path = n.path WHERE n.seq > 0""")
+def _steps(now: DataFrame) -> DataFrame:
+    """Snapshots present: their chain, seq, the one before (null for the first) and the first. Some never came, so the one before isn't seq - 1."""
+    line = Window.partitionBy("chain_key").orderBy("seq")
+    return now.select(*BY).distinct().select(*BY, F.lag("seq").over(line).alias("prev_seq"), F.min("seq").over(Window.partitionBy("chain_key")).alias("first_seq"))
+
+
+@query(f"""WITH {LISTING}, {STEPS} SELECT n.chain_id, n.seq, decode(n.path) AS path, n.file_kind, n.size, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status
+FROM listing n JOIN steps s ON s.chain_id = n.chain_id AND s.seq = n.seq AND s.prev_seq IS NOT NULL LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = s.prev_seq AND o.path = n.path""")
 def file_incremental(spark, d):
-    now = _with_xattrs(spark, d)
-    rows = fl.incremental(now.where("seq > 0"), now.withColumn("seq", F.col("seq") + 1), ["path"], BY)
+    """Each entry against the listing of the newest snapshot before its own that is present."""
+    now = cut(_with_xattrs(spark, d), "listing")
+    later = cut(_steps(now).where("prev_seq is not null"), "steps")
+    reference = bounded_join(now, later.select("chain_key", F.col("prev_seq").alias("seq"), F.col("seq").alias("next_seq")), BY).drop("seq").withColumnRenamed("next_seq", "seq")
+    rows = fl.incremental(bounded_join(now, later.select(*BY), BY), reference, ["path"], BY)
     return _shown(rows, _path(), "file_kind", "size", "status")
 
 
-@query(f"""WITH {LISTING} SELECT n.chain_id, n.seq, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n_files, sum(n.size) AS bytes
-FROM listing n LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = 0 AND o.path = n.path WHERE n.seq > 0 GROUP BY 1, 2, 3""")
+@query(f"""WITH {LISTING}, {STEPS} SELECT n.chain_id, n.seq, CASE WHEN o.path IS NULL THEN 'new' WHEN {_SAME} THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n_files, sum(n.size) AS bytes
+FROM listing n JOIN steps s ON s.chain_id = n.chain_id AND s.seq = n.seq AND s.prev_seq IS NOT NULL LEFT JOIN listing o ON o.chain_id = n.chain_id AND o.seq = s.first_seq AND o.path = n.path GROUP BY 1, 2, 3""")
 def file_differential(spark, d):
-    now = _with_xattrs(spark, d)
-    rows = fl.incremental(now.where("seq > 0"), now.where("seq = 0"), ["path"], ["chain_key"], keep=["seq"])
+    """Each later snapshot against the first one present of its chain."""
+    now = cut(_with_xattrs(spark, d), "listing")
+    steps = cut(_steps(now), "steps")
+    first = bounded_join(now, steps.where("seq = first_seq").select(*BY), BY)
+    rows = fl.incremental(bounded_join(now, steps.where("prev_seq is not null").select(*BY), BY), first, ["path"], ["chain_key"], keep=["seq"])
     return _shown(rows.groupBy(*BY, "status").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes")), "status", "n_files", "bytes")
 
 

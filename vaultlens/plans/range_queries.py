@@ -49,7 +49,6 @@ def _merged(source: str, name: str, by: str = "chain_id, seq, region") -> str:
   FROM (SELECT *, max(end_incl) OVER (PARTITION BY {by} ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source} WHERE end_incl >= start)) GROUP BY {by}, isle)"""
 
 
-_SIZE = 4096 * bind.CHUNK
 _MERGED = f"{_EXT}, {_merged('ext', 'mg')}"
 
 
@@ -79,7 +78,8 @@ def extents_scale(spark, d):
 
 
 _UNIT = 4 * bind.CHUNK
-_ALIGN = f"""{_EXT}, aw AS (SELECT chain_id, seq, region, (start // {_UNIT}) * {_UNIT} AS start, least((end_incl // {_UNIT} + 1) * {_UNIT}, {_SIZE}) - 1 AS end_incl FROM ext), {_merged('aw', 'al')}"""
+_ENDS = f"{_EXT}, dev AS (SELECT *, max(end_incl) OVER (PARTITION BY chain_id, region) + 1 AS size FROM ext)"
+_ALIGN = f"""{_ENDS}, aw AS (SELECT chain_id, seq, region, (start // {_UNIT}) * {_UNIT} AS start, least((end_incl // {_UNIT} + 1) * {_UNIT}, size) - 1 AS end_incl FROM dev), {_merged('aw', 'al')}"""
 
 
 @query(f"WITH {_ALIGN} SELECT * FROM al")
@@ -141,7 +141,7 @@ def dirty_bitmap_union(spark, d):
     return tr.bitmap_union(maps.unionByName(maps)).groupBy("region").agg(F.sum("n_dirty").alias("n_dirty"))
 
 
-@query(f"""WITH {_EVENTS}, w AS (SELECT CAST(x AS VARCHAR) AS dev, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL (y) MINUTE AS t0, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL (y + 30) MINUTE AS t1 FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(0, 600, 30)) AS y))
+@query(f"""WITH {_EVENTS}, b AS (SELECT epoch_us(min(ts)) // 1800000000 AS f, epoch_us(max(ts)) // 1800000000 AS l FROM events), w AS (SELECT dev, make_timestamp(y * 1800000000) AS t0, make_timestamp((y + 1) * 1800000000) AS t1 FROM (SELECT DISTINCT dev FROM io WHERE dev IS NOT NULL), (SELECT unnest(range(f, l + 1)) AS y FROM b))
 SELECT w.dev, t0, t1, count(ts) AS n_writes, count(ts) = 0 AS is_quiet FROM w LEFT JOIN (SELECT * FROM io WHERE sectors <> 0 AND flags IN ('W', 'FWS', 'D')) i ON i.dev = w.dev AND ts BETWEEN t0 AND t1 GROUP BY 1, 2, 3""")
 def quiet_windows(spark, d):
     io, half = _io(spark, d), 1800
@@ -226,8 +226,9 @@ def layout_difference(spark, d):
     return dv.layout_difference(e, e.withColumn("seq", F.col("seq") + 1), ["chain_id", "seq"], ["region", "chunk_index", "plan_id"], ["region", "chunk_index"])
 
 
-@query(f"""WITH {_EXT}, w AS (SELECT chain_id, seq, region, start, max(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ext),
-g AS (SELECT chain_id, seq, region, coalesce(e + 1, 0) AS gap_start, start - 1 AS gap_end FROM w UNION ALL SELECT chain_id, seq, region, max(end_incl) + 1, {_SIZE} - 1 FROM ext GROUP BY 1, 2, 3) SELECT * FROM g WHERE gap_end >= gap_start AND gap_end - gap_start + 1 >= 0.02 * {_SIZE}""")
+@query(f"""WITH {_ENDS}, w AS (SELECT chain_id, seq, region, size, start, max(end_incl) OVER (PARTITION BY chain_id, seq, region ORDER BY start, end_incl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM dev),
+g AS (SELECT chain_id, seq, region, size, coalesce(e + 1, 0) AS gap_start, start - 1 AS gap_end FROM w UNION ALL SELECT chain_id, seq, region, max(size), max(end_incl) + 1, max(size) - 1 FROM dev GROUP BY 1, 2, 3)
+SELECT chain_id, seq, region, gap_start, gap_end FROM g WHERE gap_end >= gap_start AND CAST(gap_end - gap_start + 1 AS DOUBLE) >= CAST(0.02 AS DOUBLE) * size""")
 def disk_gaps(spark, d):
     return dv.unallocated(_device_ends(_extents(spark, d)), BY, F.col("size"))
 
