@@ -137,13 +137,15 @@ def test_dirty_map(spark):
     assert tr.bitmap_union(tr.bitmaps(dirty)).agg(F.sum("n_dirty")).first()[0] == 4  # chunk 0 has a bucket of its own
 
 
-def test_convergence():
-    run = lambda steps, **k: (lambda s: [tr.after_pass(d, r, 1.0, s, **(k | o)) for d, r, o in steps])({})
-    assert run([(64, 100, {})]) == ["final"] and run([(65, 1000, {})]) == ["again"] and run([(32, 20, {})]) == ["again"]
-    shrinking = [(d, 1000, {}) for d in range(1000, 0, -100)]
-    assert run([*shrinking, (100, 1000, {}), (120, 1000, {})]) == ["again"] * 11 + ["give_up"]
-    held = {"held": True}
-    assert run([(1, 100, held), (0.5, 100, held)]) == ["wait", "give_up"] and run([(1, 100, held), (1, 100, {})]) == ["wait", "final"]
+def test_convergence(spark):
+    def told(*passes):
+        df = spark.createDataFrame([("c", i, float(d), float(r), 1.0, h) for i, (d, r, h) in enumerate(passes)], "copy string, pass_no int, dirty_mib double, read_mib double, seconds double, is_held boolean")
+        return [r["decision"] for r in tr.convergence(df, ["copy"]).orderBy("pass_no").collect()]
+
+    assert told((64, 100, False)) == ["final"] and told((65, 1000, False)) == ["again"] and told((32, 20, False)) == ["again"] and told((0, 0, False)) == ["final"]
+    shrinking = [(d, 1000, False) for d in range(1000, 0, -100)]
+    assert told(*shrinking, (100, 1000, False), (120, 1000, False), (50, 1000, False)) == ["again"] * 11 + ["give_up", None]
+    assert told((1, 100, True), (0.5, 100, True)) == ["wait", "give_up"] and told((1, 100, True), (1, 100, False), (1, 100, False)) == ["wait", "final", None]
 
 
 @settings(max_examples=20, deadline=None)

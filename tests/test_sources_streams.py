@@ -48,7 +48,7 @@ dd-9 [003] ..... 7.1: block_bio_queue: 8,1 R 300 + 8 [dd]
 k-1 [000] ..... 7.2: block_rq_complete: 8,1 WS () 108 + 8 none,0,0 [0]
 k-1 [000] ..... 7.3: block_rq_complete: 8,1 FF () 18446744073709551615 + 0 none,0,0 [0]
 other: line
-x: LR-DRAIN-4"""
+x: copy-barrier-4"""
 
 
 def test_trace(spark):

@@ -53,23 +53,25 @@ def lost(counters: DataFrame) -> DataFrame:
     return counters.groupBy("file").agg(F.sum("n_lost").alias("n_lost")).withColumn("is_clean", F.col("n_lost") == 0)
 
 
-def after_pass(dirty: float, read: float, seconds: float, state: dict, *, freeze_max: float = 2.0, final_max: float = 64.0, max_passes: int = 2, held: bool = False) -> str:
-    """What a live copy does after a pass: ``final``, ``again``, ``wait`` or ``give_up``.
-
-    ``dirty`` and ``read`` in MiB. Final if what is dirty is at most ``final_max`` and half the freeze
-    time suffices at the pass's rate, unless ``held`` (a package lock). A pass that didn't shrink the rest, or that
-    only waits, counts; ``max_passes`` of those give up. ``state`` keeps last and count between calls.
+def convergence(passes: DataFrame, by: list[str], *, freeze_seconds: float = 2.0, final_mib: float = 64.0, stalled_passes: int = 2) -> DataFrame:
+    """How each live copy goes on after each of its passes.
+
+    ``passes``: by, pass_no, dirty_mib (left to copy), read_mib and seconds (of the pass), is_held (a package lock forbids
+    the freeze). The rest fits a freeze if it is at most ``final_mib`` and takes at most half of ``freeze_seconds`` at the
+    pass's speed. A rest that fits is copied in the freeze (``final``), or waits while it is held. A pass stalls if it waits or
+    didn't make the rest smaller; with ``stalled_passes`` of them the copy is given up. Passes after the end have no
+    decision. Adds is_fit, n_stalled and decision.
     """
-    rate = read / seconds if seconds > 0 else float("inf")
-    fits = dirty <= final_max and (dirty == 0 or dirty / rate <= freeze_max / 2 if rate else dirty == 0)
-    if fits and not held:
-        return "final"
-    if fits or dirty >= state.get("last", float("inf")):
-        state["count"] = state.get("count", 0) + 1
-    state["last"] = dirty
-    if state.get("count", 0) >= max_passes:
-        return "give_up"
-    return "wait" if fits else "again"
+    line = Window.partitionBy(*by).orderBy("pass_no")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # seconds for the rest at the pass's speed, compared without a division
+    fit = (F.col("dirty_mib") == 0) | ((F.col("dirty_mib") <= final_mib) & ((F.col("seconds") <= 0) | (F.col("dirty_mib") * F.col("seconds") <= F.col("read_mib") * (freeze_seconds / 2))))
+    stalls = (F.col("is_fit") & F.col("is_held")) | (F.col("dirty_mib") >= F.lag("dirty_mib").over(line))
+    rows = passes.withColumn("is_fit", fit)
+    rows = rows.withColumn("n_stalled", F.sum(F.when(stalls, 1).otherwise(0)).over(upto).cast("int"))
+    verdict = F.when(F.col("is_fit") & ~F.col("is_held"), "final").when(F.col("n_stalled") >= stalled_passes, "give_up").when(F.col("is_fit"), "wait").otherwise("again")
+    ended = F.max(F.col("decision").isin("final", "give_up")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("decision", verdict).withColumn("decision", F.when(~F.coalesce(ended, F.lit(False)), F.col("decision")))
 
 
 def sessions(events: DataFrame, by: list[str], ts: str, gap_seconds: int) -> DataFrame:

@@ -6,8 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+UNKNOWN = 1 << 50
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that a plan's sources hold on disk, as the optimizer knows them from the files; 0 where it doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN)
+
+
+def shuffle_partitions(df: DataFrame, unit: int = 32 << 20) -> int:
+    """Partitions for operators that hold a whole range of keys in a task: one for each ``unit`` bytes of the sources,
+    and at least as many as the session's shuffles have. So what a task holds doesn't grow with the data."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // unit))
 
 
 def fits(df: DataFrame, rows: int) -> bool:

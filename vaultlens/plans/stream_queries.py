@@ -33,7 +33,7 @@ def stream_dirty_map(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("w-1 [0] .. 1.0: block_bio_queue: 8,"), "dev", F.lit(" "), "flags", F.lit(" "), F.col("sector").cast("string"), F.lit(" + "), F.col("sectors").cast("string"), F.lit(" [w]"))
     lines = io.select(line.alias("value"))
     folder = _folder(spark, "trace")
-    lines.unionByName(spark.range(1).select(F.lit("LR-DRAIN-1").alias("value"))).write.text(folder)
+    lines.unionByName(spark.range(1).select(F.lit("copy-barrier-1").alias("value"))).write.text(folder)
     regions = cut(rq._regions(spark).withColumn("dev", F.concat(F.lit("8:"), "dev")), "regions")
     held = DirtyMap(regions, 8)
     held.start(trace_stream(spark, folder), _folder(spark, "offsets")).awaitTermination()

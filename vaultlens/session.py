@@ -31,13 +31,16 @@ _ROOTS: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder of this machine is made and set as checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local (tests) a temporary folder of this machine is made and set as checkpoint folder; on
+    a cluster a missing setting is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="vaultlens-")
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/vaultlens-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from ..session import Cut
 def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Trace lines that arrive as text files: events, and drain markers as their number."""
     lines = spark.readStream.text(folder)
-    marker = F.regexp_extract("value", r"LR-DRAIN-(\d+)", 1).try_cast("bigint")
+    marker = F.regexp_extract("value", r"copy-barrier-(\d+)", 1).try_cast("bigint")
     return lines.select(trace_event(F.col("value")).alias("e"), marker.alias("marker")).where("e is not null or marker is not null")
 
 
