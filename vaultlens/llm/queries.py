@@ -16,19 +16,23 @@ from .tokens import token_counts
 LEAST = 240
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return cut(sp.class_spans(docs, id_col="doc_id", text_col="text", least=LEAST), "spans"), sp.text_classes(docs, "doc_id", "text")
+def _spans(spark: SparkSession, d: str) -> sp.SharedSpans:
+    return sp.shared_spans(table(spark, d, "documents").select("doc_id", "text"), id_col="doc_id", text_col="text", least=LEAST)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents whose texts contain a common run of at least 240 characters."""
-    return sp.shared_pairs(*_spans(spark, d), LEAST)
+    return sp.shared_pairs(_spans(spark, d), LEAST)
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Per document its class of equal texts and the number of other classes that share a run with it."""
+    return sp.shared_classes(_spans(spark, d), LEAST)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Per document the share of its characters that also stand in another document."""
-    return sp.shared_shares(*_spans(spark, d), LEAST)
+    return sp.shared_shares(_spans(spark, d), LEAST)
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +93,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p3_found, p3_audit, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mix, p7_shares, p2_found, p3_found, p3_audit, p8_found, p8_classes, p8_shares)}
 
 _HEX = "replace(replace(replace(replace(lower(trim(chain_id)), 'urn:uuid:', ''), '-', ''), '{', ''), '}', '')"
 SQL = {
