@@ -100,3 +100,14 @@ SQL = {
     "p3_found": f"""SELECT 'chunks' AS stream_name, chunk_id AS record_id FROM (SELECT chunk_id, row_number() OVER (PARTITION BY payload ORDER BY batch_no, chunk_id) AS rn FROM chunks WHERE payload IS NOT NULL) WHERE rn > 1
 UNION ALL SELECT 'chunk_plan', plan_id FROM (SELECT plan_id, row_number() OVER (PARTITION BY {_HEX}, region, chunk_index ORDER BY received_unix, plan_id) AS rn FROM chunk_plan WHERE chunk_index IS NOT NULL) WHERE rn > 1""",
 }
+
+# every run of 240 characters of every text, by content; texts that hold a run, and where
+_RUNS = f"""docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, k, md5_number(substr(text, k, {LEAST})) AS h FROM (SELECT doc_id, text, unnest(range(1, n - {LEAST - 2})) AS k FROM docs WHERE n >= {LEAST})),
+hd AS (SELECT DISTINCT h, doc_id FROM w), many AS (SELECT h FROM hd GROUP BY 1 HAVING count(*) > 1)"""
+SQL["p8_found"] = f"WITH {_RUNS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hd a JOIN hd b ON a.h = b.h AND a.doc_id < b.doc_id"
+SQL["p8_shares"] = f"""WITH {_RUNS}, s AS (SELECT doc_id, k, max(k + {LEAST}) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w SEMI JOIN many USING (h)),
+c AS (SELECT doc_id, CAST(sum(k + {LEAST} - greatest(k, coalesce(reach, 0))) AS BIGINT) AS n FROM s GROUP BY 1)
+SELECT d.doc_id, d.n AS n_chars, coalesce(c.n, 0) AS n_shared, CASE WHEN d.n > 0 THEN round(coalesce(c.n, 0) / d.n, 6) ELSE 0.0 END AS share FROM docs d LEFT JOIN c USING (doc_id)"""
+SQL["p8_classes"] = f"""WITH {_RUNS}, cl AS (SELECT text, min(doc_id) AS class_id, count(*) AS n_copies FROM docs GROUP BY 1), m AS (SELECT doc_id, class_id, n_copies FROM docs JOIN cl USING (text)),
+p AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM hd h1 JOIN hd h2 ON h1.h = h2.h JOIN m x ON x.doc_id = h1.doc_id JOIN m y ON y.doc_id = h2.doc_id WHERE x.class_id <> y.class_id), l AS (SELECT a, count(*) AS n_links FROM p GROUP BY 1)
+SELECT m.doc_id, m.class_id, m.n_copies, coalesce(l.n_links, 0) AS n_links FROM m LEFT JOIN l ON l.a = m.class_id"""
