@@ -61,23 +61,26 @@ def test_pack_everything_once(spark):
 
 def test_pack_one_hot_length_and_small_patterns(spark):
     sizes = [(i, 100) for i in range(400)] + [(400 + i, 33 + i % 50) for i in range(300)]
-    rows = packed(spark, sizes, [(7, 300)], most_classes=8, most_patterns=20)
+    rows = packed(spark, sizes, [(7, 300)], most_classes=8)
     assert next(check(rows, sizes, [(7, 300)])) <= 1.12 * sum(n for _, n in sizes) / 300
 
 
-@pytest.mark.parametrize("capacity", [512, 2048])
-def test_what_is_left_for_best_fit_does_not_grow_with_the_items(capacity):
+@pytest.mark.parametrize("capacity", [512, 2048, 8192])
+def test_the_plan_on_the_driver_does_not_grow_with_the_items(capacity):
     dice = np.random.default_rng(4)
-    lengths, counts = np.unique(np.minimum(dice.lognormal(5, 0.8, 10_000).astype(int) + 1, capacity - 1), return_counts=True)
-    cls = packing.length_classes(lengths, counts, 128)
-    sizes = np.array([lengths[cls == k].max() for k in range(cls.max() + 1)])
-    for times in (1, 50):
-        demand = np.bincount(cls, counts * times).astype(np.int64)
-        patterns, often = packing.fractional_patterns(sizes, demand, capacity)
-        assert (often @ patterns == pytest.approx(demand))
-        rest = demand - packing.rounded(patterns, often, demand) @ patterns
-        assert (rest >= 0).all() and (rest @ sizes) <= len(patterns) * capacity
-    assert rest.sum() < 0.02 * demand.sum()
+    lengths, counts = np.unique(np.minimum(dice.lognormal(5, 1.2, 20_000).astype(int) + 1, capacity - 1), return_counts=True)
+    rows = {}
+    for times in (1, 10_000):
+        cls, table, boxes = packing.plan(lengths, counts * times, capacity)
+        rows[times] = len(table)
+        assert boxes <= lengths @ (counts * times) / (0.985 * capacity) + 1
+        # every item of every class has a place: the rows of a class cover its ranks without gaps
+        ends = table[:, 1] + 0
+        for c in range(cls.max() + 1):
+            own = np.flatnonzero(table[:, 0] == c)
+            assert ends[own[0]] == 0 and (np.diff(ends[own]) > 0).all()
+    # as many as the logarithm of the number of items
+    assert rows[10_000] <= 8 * rows[1] and rows[10_000] < 30_000
 
 
 def test_pack_nothing(spark):

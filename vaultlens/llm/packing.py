@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,15 +12,21 @@ from pyspark.sql import functions as F
 from ..plans.sizing import bounded_join
 from ..session import cut
 
-BUCKETS = 32
+BUCKETS, BUCKET_ROWS = 32, 4_000_000
 
 
 def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """Class of each length: at most ``most`` runs of neighbouring lengths with about equal numbers of items."""
+    """Class of each length: at most ``most`` runs of neighbouring lengths.
+
+    Items count as the longest of their class, so a class of n items and width w wastes about n * w / 2. With so many
+    classes the waste is least where widths go with the root of 1 / density: each class has the same sum of the roots of
+    count times gap.
+    """
     if len(lengths) <= most:
         return np.arange(len(lengths))
-    middle = np.cumsum(counts) - counts / 2
-    part = np.minimum((middle * most / counts.sum()).astype(int), most - 1)
+    weight = np.sqrt(counts * np.diff(lengths, prepend=lengths[0] - 1).astype(float))
+    middle = np.cumsum(weight) - weight / 2
+    part = np.minimum((middle * most / weight.sum()).astype(int), most - 1)
     return np.unique(part, return_inverse=True)[1]
 
 
@@ -50,65 +55,35 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, bounds: np.ndarray, capa
     return out
 
 
-def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.1, rate: float = 6.0, most: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Configuration LP (cover every class's demand with the fewest containers) by multiplicative weights.
+def priced_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = 0.5, rate: float = 1.0, power: float = 1.15) -> list[tuple[np.ndarray, int]]:
+    """Configuration LP (cover the demand of all classes with the fewest containers) by multiplicative weights: patterns
+    and in how many containers each is used. All demand is covered, each item once.
 
-    A class weighs exp(-rate * coverage) per item demanded, and nothing once its demand is covered. The pattern that
-    weighs most is priced by ``best_pattern`` and taken as often as brings its tightest class forward by ``step``
-    or covers it. Ends when all demand is covered, each just once. So every class is priced for at most 1 / step + 1
-    times, whatever the number of items; after each ``most`` pricings the step is doubled. Returns patterns and how
-    often each is used.
+    A class's weight starts as (size / capacity) ** ``power``, near the prices of a perfect packing but a little dearer for
+    large items, which only fit while there are small ones; it is multiplied by exp(``rate`` * d), d being how far the
+    class's uncovered share is above the mean. The pattern that weighs most is priced by ``best_pattern``, with at most twice a
+    class's fair part of a container, and taken as often as covers the share ``step`` of what its scarcest class has left.
+    These are whole containers, so rounding happens as it goes: a step below one container is one. Each pricing thus covers at
+    least half of a class or ends one, and the number of pricings goes with the logarithm of the number of items.
     """
-    cover = np.zeros(len(sizes))
-    patterns: dict[bytes, float] = {}
-    n = 0
-    while (cover < 1).any():
-        weight = np.exp(-rate * cover) / demand + 1e-12 * sizes / capacity / demand
-        a = best_pattern(sizes, weight * (cover < 1), demand, capacity)
-        used = a > 0
-        often = float((np.minimum(step * 2 ** (n // most), 1 - cover[used]) * demand[used] / a[used]).min())
-        cover += a * often / demand
-        cover[cover > 1 - 1e-9] = 1
-        patterns[a.tobytes()] = patterns.get(a.tobytes(), 0.0) + often
-        n += 1
-    rows = np.array([np.frombuffer(p, np.int64) for p in patterns]).reshape(-1, len(sizes))
-    return rows, np.array(list(patterns.values()))
-
-
-def rounded(patterns: np.ndarray, often: np.ndarray, demand: np.ndarray) -> np.ndarray:
-    """Whole numbers of containers that never hold more than the demand: floors, then one more by largest fraction."""
-    left, out = demand.copy(), np.zeros(len(often), np.int64)
-    for share in (np.floor(often), np.ones(len(often))):
-        for p in np.argsort(-(often - out), kind="stable"):
-            used = patterns[p] > 0
-            n = int(min(share[p], (left[used] // patterns[p][used]).min())) if used.any() else 0
-            out[p] += n
-            left -= n * patterns[p]
-    return out
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[int]:
-    """Container of each item, items taken from the longest; each goes where the least room stays."""
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    rooms: list[tuple[int, int]] = []
-    out, n = [0] * len(lengths), 0
-    for i in order:
-        at = bisect_left(rooms, (lengths[i], -1))
-        if at == len(rooms):
-            room, box, n = capacity, n, n + 1
-        else:
-            room, box = rooms.pop(at)
-        out[i] = box
-        if room > lengths[i]:
-            insort(rooms, (room - lengths[i], box))
-    return out
-
-
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_classes: int = 128, most_patterns: int = 400) -> tuple[np.ndarray, np.ndarray, int]:
+    left, used = demand.astype(np.int64).copy(), []
+    price = (sizes / capacity) ** power
+    while left.any():
+        share = left / demand
+        containers = max(1, -(-int(left @ sizes) // capacity))
+        fair = np.minimum(left, -(-2 * left // containers))
+        a = best_pattern(sizes, np.where(left > 0, price * np.exp(rate * (share - share[left > 0].mean())), 0), fair, capacity)
+        times = max(1, int(step * (left[a > 0] // a[a > 0]).min()))
+        left -= times * a
+        used.append((a, times))
+    return used
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_classes: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
     """Where the items go, from the histogram alone (lengths below the capacity).
 
     Returns the class of each length; rows (class, first rank, container of it, items per container); and the number of
-    containers. Ranks count the items of a class from the longest.
+    containers. Ranks count the items of a class from the longest. The rows are as many as the patterns have classes.
     """
     cls = length_classes(lengths, counts, most_classes)
     k = int(cls.max()) + 1 if len(cls) else 0
@@ -116,30 +91,14 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_classes: i
         return cls, np.empty((0, 4), np.int64), 0
     sizes = np.zeros(k, np.int64)
     np.maximum.at(sizes, cls, lengths)
-    demand = np.bincount(cls, counts).astype(np.int64)
-    patterns, often = fractional_patterns(sizes, demand, capacity, most=most_patterns)
-    times = rounded(patterns, often, demand)
     rows: list[tuple[int, int, int, int]] = []
     at, box = np.zeros(k, np.int64), 0
-    for p in np.flatnonzero(times):
-        for c in np.flatnonzero(patterns[p]):
-            rows.append((c, at[c], box, patterns[p][c]))
-            at[c] += times[p] * patterns[p][c]
-        box += int(times[p])
-    rest: list[tuple[int, int, int]] = []
-    for c in range(k):
-        own = np.flatnonzero(cls == c)[::-1]  # from the longest
-        tail = np.repeat(lengths[own], _tail(counts[own], int(at[c])))
-        rest += [(c, int(at[c]) + i, int(n)) for i, n in enumerate(tail)]
-    boxes = best_fit([n for *_, n in rest], capacity)
-    rows += [(c, r, box + b, 1) for (c, r, _), b in zip(rest, boxes)]
-    table = np.array(sorted(rows), np.int64).reshape(-1, 4)
-    return cls, table, box + (max(boxes) + 1 if boxes else 0)
-
-
-def _tail(counts: np.ndarray, skip: int) -> np.ndarray:
-    """What remains of each count after the first ``skip`` items."""
-    return np.maximum(0, np.minimum(counts, np.cumsum(counts) - skip))
+    for pattern, times in priced_patterns(sizes, np.bincount(cls, counts).astype(np.int64), capacity):
+        for c in np.flatnonzero(pattern):
+            rows.append((c, at[c], box, pattern[c]))
+            at[c] += times * pattern[c]
+        box += times
+    return cls, np.array(sorted(rows), np.int64).reshape(-1, 4), box
 
 
 def _assign(batches: Iterator[pa.RecordBatch], tables: dict) -> Iterator[pa.RecordBatch]:
@@ -154,7 +113,7 @@ def _assign(batches: Iterator[pa.RecordBatch], tables: dict) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column("spec_id"), pa.array(box), *(b.column(n) for n in ("doc_id", "piece_no", "n_tokens"))], names=["spec_id", "container_id", "doc_id", "piece_no", "n_tokens"])
 
 
-def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 128, most_patterns: int = 400) -> DataFrame:
+def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 256) -> DataFrame:
     """Contents of containers of each capacity.
 
     ``sizes``: doc_id bigint (unique), n_tokens bigint; must be a written table, it is
@@ -165,18 +124,18 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 128
     Columns: spec_id, container_id (from 0 within a spec), doc_id, piece_no (from 0), n_tokens.
 
     The driver sees the histogram only (at most the capacity's number of rows) and decides how many
-    containers of which pattern there are; each item then finds its container from its rank within
-    its length class. Ranks are counted in 32 hash buckets per length, so that one length may hold
-    any share of the items. Patterns are priced until they cover all items, in larger steps after each
-    ``most_patterns``, and only rounding leaves something for best fit on the driver: under one container per
-    pattern, whatever the number of items.
+    containers of which pattern there are (``priced_patterns``, all items in patterns); each item then finds its container
+    from its rank within its length class. Ranks are counted in hash buckets per length, 32 or one for each
+    4,000,000 rows, so that one length may hold any share of the items. What is broadcast are the patterns: a few thousand rows, growing
+    with the logarithm of the number of items.
     """
+    buckets = max(BUCKETS, -(-sizes.count() // BUCKET_ROWS))
     spark = sizes.sparkSession
     spec = F.explode(F.array(*[F.struct(F.lit(int(s)).alias("spec_id"), F.lit(int(c)).cast("bigint").alias("capacity")) for s, c in specs]))
     each = sizes.where(F.col("n_tokens").isNotNull()).select("doc_id", F.col("n_tokens").alias("n"), spec.alias("s")).select("doc_id", "n", "s.*")
     full = F.floor(F.col("n") / F.col("capacity"))
     rest = F.col("n") - full * F.col("capacity")
-    cells = each.withColumn("rest", rest).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+    cells = each.withColumn("rest", rest).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     part = cells.where("rest > 0")
     counted = cut(part.groupBy("spec_id", "rest", "bucket").agg(F.count("*").alias("c")), "histogram")
     tables, classes, boxes = {}, [], {}
@@ -184,7 +143,7 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 128
     for s, c in specs:
         h = hist[hist["spec_id"] == s].sort_values("rest")
         lengths = h["rest"].to_numpy(np.int64)
-        cls, tables[int(s)], boxes[int(s)] = plan(lengths, h["c"].to_numpy(np.int64), int(c), most_classes, most_patterns)
+        cls, tables[int(s)], boxes[int(s)] = plan(lengths, h["c"].to_numpy(np.int64), int(c), most_classes)
         classes += [(int(s), int(n), int(k)) for n, k in zip(lengths, cls)]
     if not classes:
         classes = [(-1, -1, -1)]
@@ -196,16 +155,16 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 128
     items = ranked.select("spec_id", "cls", (F.col("first") + F.col("nth") - 1).alias("rank"), "doc_id", full.cast("int").alias("piece_no"), F.col("rest").alias("n_tokens"))
     held = spark.sparkContext.broadcast(tables)
     packed = items.mapInArrow(lambda it: _assign(it, held.value), "spec_id int, container_id bigint, doc_id bigint, piece_no int, n_tokens bigint")
-    return packed.unionByName(_full_containers(each, full, boxes)).unionByName(each.where("n = 0").select("spec_id", F.lit(0).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("n_tokens")))
+    return packed.unionByName(_full_containers(each, full, boxes, buckets * 8)).unionByName(each.where("n = 0").select("spec_id", F.lit(0).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("n_tokens")))
 
 
-def _full_containers(each: DataFrame, full, boxes: dict[int, int]) -> DataFrame:
+def _full_containers(each: DataFrame, full, boxes: dict[int, int], buckets: int) -> DataFrame:
     """Pieces that fill a container of their own, numbered after the others: running sums over hash buckets."""
-    large = each.where(F.col("n") >= F.col("capacity")).withColumn("full", full).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS * 8)).cast("int"))
+    large = each.where(F.col("n") >= F.col("capacity")).withColumn("full", full).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     sums = large.groupBy("spec_id", "bucket").agg(F.sum("full").alias("c")).withColumn("first", F.coalesce(F.sum("c").over(Window.partitionBy("spec_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     base = F.create_map(*[F.lit(x) for s, b in boxes.items() for x in (int(s), int(b))])
     line = Window.partitionBy("spec_id", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = large.withColumn("before", F.coalesce(F.sum("full").over(line), F.lit(0))).join(F.broadcast(sums), ["spec_id", "bucket"])  # 256 rows per spec
+    placed = large.withColumn("before", F.coalesce(F.sum("full").over(line), F.lit(0))).join(F.broadcast(sums), ["spec_id", "bucket"])  # a row per spec and bucket
     return placed.select("spec_id", "doc_id", "capacity", (base[F.col("spec_id")] + F.col("first") + F.col("before")).alias("start"), F.posexplode(F.array_repeat(F.lit(1), F.col("full").cast("int"))).alias("piece_no", "one")).select("spec_id", (F.col("start") + F.col("piece_no")).cast("bigint").alias("container_id"), "doc_id", "piece_no", F.col("capacity").alias("n_tokens"))
 
 
