@@ -70,7 +70,7 @@ def test_the_plan_on_the_driver_does_not_grow_with_the_items(capacity):
     dice = np.random.default_rng(4)
     lengths, counts = np.unique(np.minimum(dice.lognormal(5, 1.2, 20_000).astype(int) + 1, capacity - 1), return_counts=True)
     rows = {}
-    for times in (1, 10_000):
+    for times in (1, 100, 10_000, 1_000_000):
         cls, table, boxes = packing.plan(lengths, counts * times, capacity)
         rows[times] = len(table)
         assert boxes <= lengths @ (counts * times) / (0.985 * capacity) + 1
@@ -79,8 +79,8 @@ def test_the_plan_on_the_driver_does_not_grow_with_the_items(capacity):
         for c in range(cls.max() + 1):
             own = np.flatnonzero(table[:, 0] == c)
             assert ends[own[0]] == 0 and (np.diff(ends[own]) > 0).all()
-    # as many as the logarithm of the number of items
-    assert rows[10_000] <= 8 * rows[1] and rows[10_000] < 30_000
+    # the number of rows goes with the logarithm of the number of items
+    assert rows[1_000_000] - rows[10_000] <= 1.1 * (rows[10_000] - rows[100]) and rows[1_000_000] < 130_000
 
 
 def test_pack_nothing(spark):
