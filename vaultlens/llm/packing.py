@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.sizing import bounded_join
 from ..session import cut
 
-BUCKETS, BUCKET_ROWS = 32, 4_000_000
+BUCKETS, BUCKET_ROWS = 4, 4_000_000
 
 
 def length_classes(lengths: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], most_classes: int = 256
 
     The driver sees the histogram only (at most the capacity's number of rows) and decides how many
     containers of which pattern there are (``priced_patterns``, all items in patterns); each item then finds its container
-    from its rank within its length class. Ranks are counted in hash buckets per length, 32 or one for each
+    from its rank within its length class. Ranks are counted in hash buckets per length, 4 or one for each
     4,000,000 rows, so that one length may hold any share of the items. What is broadcast are the patterns: a few thousand rows, growing
     with the logarithm of the number of items.
     """
