@@ -55,11 +55,16 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def path(spark: SparkSession, name: str) -> tuple:
+    """A path of Hadoop's file system layer, and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, name: str) -> None:
     """Delete a folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, fs = path(spark, name)
+    fs.delete(target, True)
 
 
 class Cut:
