@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,9 +107,9 @@ def test_hierarchy(spark, size):
     got = tree(spark, LINKS, component_rows=size)
     assert {k: (r["root"], r["depth"]) for k, r in got.items()} == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 1), "e": ("e", 0), **{k: (None, -1) for k in "xyzts"}}
     assert got["c"]["path"] == "a/b/c" and got["a"]["n_descendants"] == 3 and got["e"]["path"] == "e"
-    if size > 1:
-        assert got["s"]["back_edge_from"] == "s"
-        assert sum(got[k]["back_edge_from"] is not None for k in "xyz") == 1
+    assert got["s"]["back_edge_from"] == "s"
+    assert [k for k in "xyz" if got[k]["back_edge_from"] is not None] == ["x"]
+    assert [(got[k]["entry"], got[k]["n_descendants"]) for k in "abcd"] == [(0, 3), (1, 1), (2, 0), (3, 0)] and got["x"]["entry"] == -1
 
 
 def test_deep_line_and_long_cycle(spark):
@@ -120,5 +121,29 @@ def test_deep_line_and_long_cycle(spark):
     assert sorted(r["c"] for r in labels) == [37, 300]
 
 
+def test_small_and_large_components_give_the_same_rows(spark):
+    dice = random.Random(8)
+    links = [(f"t{i:03}", f"t{dice.randrange(i):03}" if i % 60 else None) for i in range(240)] + [(f"c{i:02}", f"c{(i * 7 + 3) % 20:02}") for i in range(20)] + [(f"d{i:02}", f"c{i % 20:02}") for i in range(30)]
+    one, many = ({k: tuple(r) for k, r in tree(spark, links, component_rows=n).items()} for n in (1_000_000, 1))
+    assert one == many and len(one) == 290
+
+
+def test_long_chain(spark):
+    n = 50_000
+    df = spark.range(n).select(F.format_string("n%06d", "id").alias("n"), F.when(F.col("id") > 0, F.format_string("n%06d", F.col("id") - 1)).alias("p"))
+    for size in (1_000_000, 1):
+        got = h.hierarchy(df, node="n", parent="p", with_path=False, component_rows=size)
+        assert got.where((F.col("depth") == F.substring("node", 2, 6).cast("int")) & (F.col("root") == "n000000") & (F.col("entry") == F.col("depth")) & (F.col("n_descendants") == n - 1 - F.col("depth"))).count() == n
+
+
+def test_paths_leave_the_task_in_blocks(monkeypatch):
+    monkeypatch.setattr(h, "PATH_BLOCK", 1000)
+    rows = pd.DataFrame({"node": [f"n{i:03}" for i in range(200)], "parent": [None] + [f"n{i:03}" for i in range(199)], "label": ["n000"] * 200})
+    out = list(h._walk(iter([rows]), "/", True))
+    assert len(out) > 50 and max(x["path"].str.len().sum() for x in out) < 3000
+    every = pd.concat(out).set_index("node")
+    assert every.loc["n003", "path"] == "n000/n001/n002/n003" and every.loc["n199", "depth"] == 199
+
+
 def test_hierarchy_of_nothing(spark):
     assert tree(spark, []) == {}

@@ -74,6 +74,12 @@ def p5_cycles(spark: SparkSession, d: str) -> DataFrame:
     return h.where("back_edge_from is not null").select(F.col("node").alias("image_uuid"), "back_edge_from")
 
 
+def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's place in the depth-first walk of its tree and that of its last descendant: all descendants in a row."""
+    h = hierarchy(_lines(spark, d), node="image_uuid", parent="parent_uuid", with_path=False).where("depth >= 0")
+    return h.select(F.col("node").alias("image_uuid"), F.col("root").alias("root_uuid"), F.col("entry").alias("first_entry"), (F.col("entry") + F.col("n_descendants")).alias("last_entry"))
+
+
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every (ancestor, descendant) pair of images whose lines end, with the distance."""
     h = hierarchy(_lines(spark, d), node="image_uuid", parent="parent_uuid", with_path=False).where(F.col("depth") >= 0).select(F.col("node").alias("image_uuid"))
@@ -83,7 +89,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return ancestors(trees).select(F.col("ancestor").alias("ancestor_uuid"), F.col("node").alias("image_uuid"), F.col("distance").cast("int").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p4_found, p4_report, p5_found, p5_paths, p5_cycles, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_intervals, p4_found, p4_report, p5_found, p5_paths, p5_cycles, p5_intervals, p5_descendants)}
 
 def _hex(c: str) -> str:
     return f"replace(replace(replace(replace(lower(trim({c})), 'urn:uuid:', ''), '-', ''), '{{', ''), '}}', '')"
@@ -144,4 +150,12 @@ w AS (SELECT image_uuid, 0 AS depth FROM t WHERE parent_uuid IS NULL UNION ALL S
 u AS (SELECT t.image_uuid, t.parent_uuid AS ancestor_uuid, 1 AS distance FROM t JOIN w USING (image_uuid) WHERE t.parent_uuid IS NOT NULL
       UNION ALL SELECT u.image_uuid, t.parent_uuid, u.distance + 1 FROM u JOIN t ON t.image_uuid = u.ancestor_uuid WHERE t.parent_uuid IS NOT NULL)
 SELECT ancestor_uuid, image_uuid, CAST(distance AS INTEGER) AS distance FROM u""",
+    "p5_intervals": _WALK + """,
+e AS (SELECT *, row_number() OVER (PARTITION BY root_uuid ORDER BY path) - 1 AS entry FROM w),
+k AS (SELECT e.image_uuid, max(d.entry) AS last_entry FROM e JOIN e d ON d.root_uuid = e.root_uuid AND starts_with(d.path, e.path) GROUP BY 1)
+SELECT image_uuid, root_uuid, entry AS first_entry, last_entry FROM e JOIN k USING (image_uuid)""",
+    "p5_cycles": f"""WITH RECURSIVE {_LINKS},
+u AS (SELECT image_uuid AS a, parent_uuid AS b FROM t WHERE parent_uuid IS NOT NULL UNION SELECT u.a, t.parent_uuid FROM u JOIN t ON t.image_uuid = u.b WHERE t.parent_uuid IS NOT NULL),
+c AS (SELECT DISTINCT a FROM u WHERE a = b), m AS (SELECT u.a, min(u.b) AS low FROM u JOIN c ON u.a = c.a GROUP BY 1)
+SELECT t.image_uuid, t.parent_uuid AS back_edge_from FROM t JOIN m ON m.a = t.image_uuid AND m.low = m.a""",
 }

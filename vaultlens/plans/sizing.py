@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 UNKNOWN = 1 << 50
 
@@ -27,13 +29,24 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def is_plain(df: DataFrame) -> bool:
+    """Whether a plan only reads, filters and renames one table."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return node.children().isEmpty()
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 100_000, salts: int = 16) -> DataFrame:
     """Join whose small side is broadcast only if it is counted to hold at most ``rows`` rows.
 
     Beyond that both sides are shuffled on the keys and a salt, so that one key with a
     third of all rows of ``big`` is spread over ``salts`` tasks. ``small`` must not be
-    the outer side.
+    the outer side. A small side that is more than a filtered table is written first, so that counting
+    and joining it don't compute it twice.
     """
+    if not is_plain(small):
+        small = cut(small, "small")
     if fits(small, rows):
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
