@@ -207,3 +207,25 @@ def test_partition_enrichment(spark):
     assert [(r["number"], r["fs_type"], r["mountpoints"], r["holders"]) for r in got.orderBy("number").collect()] == [(1, "ext4", ["/", "/b"], []), (2, None, [], ["dm-0"]), (3, None, [], [])]
     offline = got.where(dv.is_offline(F.col("mountpoints"), F.col("holders"))).collect()
     assert [r["number"] for r in offline] == [3]
+
+
+def test_payloads_are_read_and_hashed(spark):
+    import hashlib
+
+    from vaultlens.operators import verify as vf
+
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    entries = spark.createDataFrame([("c", i) for i in range(7)], "chain string, at int")
+    records = [("c", 0, 1, b"abc", h(b"abc").upper(), 3), ("c", 1, 1, b"abc", h(b"x"), 3), ("c", 2, 1, b"ab", h(b"ab"), 3), ("c", 3, 1, None, h(b"x"), 3), ("c", 4, 1, b"abc", None, 3), ("c", 6, 1, b"abc", h(b"x"), 3), ("c", 6, 2, b"abc", h(b"abc"), 3), ("d", 5, 1, b"abc", h(b"abc"), 3)]
+    df = spark.createDataFrame(records, "chain string, at int, v int, p binary, h string, n int")
+    got = {r["at"]: r["verdict"] for r in vf.payload_verdicts(entries, df, ["chain", "at"], ["v"], "h", "p", "n").collect()}
+    assert got == {0: "equal", 1: "stale", 2: "short", 3: "no_content", 4: "no_hash", 5: "missing", 6: "equal"}
+    assert vf.payload_verdicts(entries, df.limit(0), ["chain", "at"], ["v"], "h", "p", "n").where("verdict = 'missing'").count() == 7
+
+
+def test_parent_states_skip_members_that_never_came(spark):
+    from vaultlens.operators import chains as ch
+
+    own = spark.createDataFrame([("c", 0, 1, 10), ("c", 0, 2, 20), ("c", 3, 1, 11), ("c", 5, 3, 30)], "chain string, seq int, k int, v int")
+    got = sorted((r["seq"], r["k"], r["v"]) for r in ch.parent_states(own, ["chain"], ["k"], "seq", ["v"]).collect())
+    assert got == [(3, 1, 10), (3, 2, 20), (5, 1, 11), (5, 2, 20)]

@@ -53,3 +53,33 @@ def matching(a: DataFrame, b: DataFrame, by_a: str, by_b: str) -> DataFrame:
 def quota_usage(entries: DataFrame, by: list[str], size: str, most_entries: int, most_bytes: int) -> DataFrame:
     """Entries and bytes per group against two quotas."""
     return entries.groupBy(*by).agg(F.count("*").alias("n_entries"), F.sum(size).alias("n_bytes")).withColumn("is_over", (F.col("n_entries") > most_entries) | (F.coalesce("n_bytes", F.lit(0)) > most_bytes))
+
+
+def payload_verdicts(entries: DataFrame, records: DataFrame, on: list[str], version: list[str], stored: str, payload: str, length: str) -> DataFrame:
+    """Entries with what reading their payload tells: ``missing`` (no record), ``no_content``, ``short``, ``no_hash``, ``stale``
+    (the content hashes to something else) or ``equal``.
+
+    Of several records of one place the one with the largest ``version`` counts. The payload is hashed before the shuffle, so
+    that only the verdict moves.
+    """
+    n, h = F.length(payload), F.col(stored)
+    verdict = F.when(F.col(payload).isNull(), "no_content").when(n < F.col(length), "short").when(h.isNull(), "no_hash").when(F.lower(h) == F.sha2(payload, 256), "equal").otherwise("stale")
+    judged = records.select(*on, F.struct(*version).alias("v"), verdict.alias("verdict"), n.alias("n_bytes")).groupBy(*on).agg(F.max(F.struct("v", "verdict", "n_bytes")).alias("r"))
+    return entries.join(judged, on, "left").withColumn("verdict", F.coalesce("r.verdict", F.lit("missing"))).withColumn("n_bytes", F.coalesce("r.n_bytes", F.lit(0))).drop("r")
+
+
+def restore_members(state: DataFrame, by: list[str], seq: str, length: str, stored: Column) -> DataFrame:
+    """Members whose payloads a restore of the merged state reads, with chunks and bytes."""
+    return state.where(stored).groupBy(*by, seq).agg(F.count("*").alias("n_chunks"), F.sum(length).alias("n_bytes"))
+
+
+def order_breaks(regions: DataFrame, by: list[str], region: str, start: str, end: str) -> DataFrame:
+    """Regions that begin before an earlier region of the same layout ends: by, region, start, reach."""
+    line = Window.partitionBy(*by).orderBy(region).rowsBetween(Window.unboundedPreceding, -1)
+    return regions.select(*by, region, start, F.max(end).over(line).alias("reach")).where(F.col(start) <= F.col("reach"))
+
+
+def hash_index(records: DataFrame, by: list[str], hash_: str) -> DataFrame:
+    """The distinct hashes of each group in order, with their position and the number of records."""
+    each = records.where(F.col(hash_).isNotNull()).groupBy(*by, F.lower(hash_).alias("hash")).agg(F.count("*").alias("n_records"))
+    return each.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("hash")) - 1)

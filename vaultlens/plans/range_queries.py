@@ -174,7 +174,10 @@ def job_stalls(spark, d):
     return jb.stalls(table(spark, d, "events"), ["user_id"], "ts", "event_id", ["event_type"], 8 * 3600)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER w AS event_no, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT job_id, event_no, done, total, done >= 100000 OR (done = total AND done > 0) AS emit, CASE WHEN done >= 100000 OR (done = total AND done > 0) THEN done ELSE 0 END AS told FROM e WHERE event_no = 1
+UNION ALL SELECT e.job_id, e.event_no, e.done, e.total, e.done - f.told >= 100000 OR (e.done = e.total AND e.done > f.told), CASE WHEN e.done - f.told >= 100000 OR (e.done = e.total AND e.done > f.told) THEN e.done ELSE f.told END FROM f JOIN e ON e.job_id = f.job_id AND e.event_no = f.event_no + 1)
+SELECT job_id, event_no, done, total FROM f WHERE emit""")
 def progress_throttle(spark, d):
     e = jb.numbered(table(spark, d, "events"), ["user_id"], "ts", "event_id").withColumn("job_id", F.col("user_id").cast("string"))
     from pyspark.sql import Window

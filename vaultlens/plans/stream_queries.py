@@ -63,3 +63,6 @@ for f in (stream_dirty_map, stream_late_updates, stream_stalls):
 
 SQL["stream_dirty_map"] = rq.SQL["dirty_chunks"]
 SQL["stream_late_updates"] = "SELECT chain_id, member_seq, chunk_offset, chunk_id, plain_len FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, member_seq, chunk_offset ORDER BY batch_no DESC, chunk_id DESC) AS rn FROM chunks) WHERE rn = 1"
+SQL["stream_stalls"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts, event_id, event_type AS phase, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT job_id, phase, ts, lag(phase) OVER v AS old, epoch_us(ts) - epoch_us(lag(ts) OVER v) AS gap FROM e WHERE rn = 1 OR phase IS DISTINCT FROM prev WINDOW v AS (PARTITION BY job_id ORDER BY ts, event_id))
+SELECT job_id, 'advance' AS kind, phase, CAST(0 AS BIGINT) AS done, CAST(0 AS DOUBLE) AS idle_seconds FROM m UNION ALL SELECT job_id, 'stalled', old, CAST(0 AS BIGINT), CAST(gap AS DOUBLE) / 1e6 FROM m WHERE gap > 28800000000"""

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import chains as ch
 from ..operators import files as fl
 from ..operators import ranges as rg
+from ..operators import verify as vf
 from ..sources import table
 from . import bind
 from .bind import CHUNKS, ENTRIES, LISTING, MEM, NEWEST, SCANS
@@ -97,3 +98,84 @@ def chunk_counts(spark, d):
     sizes = bind.scans(spark, d).groupBy("image_uuid").agg(F.max("source_size_bytes").alias("source_size_bytes"))
     n = F.call_function("div", F.col("source_size_bytes") + F.col("chunk_size") - 1, F.col("chunk_size").cast("bigint"))
     return bind.members(spark, d).join(sizes, "image_uuid").select("image_uuid", F.when(F.col("chunk_size") > 0, n).alias("n_chunks"))
+
+
+_VERDICTS = f"""{CHUNKS}, rec AS (SELECT chain_id, member_seq AS seq, chunk_offset AS plan_offset, max_by({{'v': CASE WHEN payload IS NULL THEN 'no_content' WHEN octet_length(payload) < plain_len THEN 'short' WHEN hash IS NULL THEN 'no_hash' WHEN lower(hash) = sha256(payload) THEN 'equal' ELSE 'stale' END, 'n': octet_length(payload)}}, (batch_no, chunk_id)) AS r FROM ck GROUP BY 1, 2, 3)"""
+
+
+def _records(spark, d):
+    return bind.chunks(spark, d).select("chain_id", F.col("member_seq").cast("int").alias("seq"), F.col("chunk_offset").alias("plan_offset"), "batch_no", "chunk_id", "hash", "payload", "plain_len")
+
+
+_PLACE = ["chain_id", "seq", "plan_offset"]
+
+
+def _checked(spark, d, entries):
+    return vf.payload_verdicts(entries, _records(spark, d), _PLACE, ["batch_no", "chunk_id"], "hash", "payload", "plain_len")
+
+
+@query(f"""WITH {ENTRIES}, {NEWEST}, {_VERDICTS} SELECT n.chain_id, coalesce(rec.r.v, 'missing') AS verdict, count(*) AS n_chunks, CAST(sum(coalesce(rec.r.n, 0)) AS BIGINT) AS n_bytes FROM newest n LEFT JOIN rec ON rec.chain_id = n.chain_id AND rec.seq = n.seq AND rec.plan_offset = n.plan_offset WHERE n.state IN (1, 3) GROUP BY 1, 2""")
+def chain_verification(spark, d):
+    """The merged state of each chain, every payload read and hashed."""
+    return _checked(spark, d, bind.newest(spark, d).where(F.col("state").isin(ch.STORED, ch.BAD))).groupBy("chain_id", "verdict").agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
+
+
+@query(f"""WITH {ENTRIES}, {_VERDICTS} SELECT e.chain_id, e.seq, coalesce(rec.r.v, 'missing') AS verdict, count(*) AS n_chunks FROM entries e LEFT JOIN rec ON rec.chain_id = e.chain_id AND rec.seq = e.seq AND rec.plan_offset = e.plan_offset WHERE e.state IN (1, 3) GROUP BY 1, 2, 3""")
+def member_verification(spark, d):
+    """Every member's own payloads, those that later members replaced included."""
+    return _checked(spark, d, bind.entries(spark, d).where(F.col("state").isin(ch.STORED, ch.BAD))).groupBy("chain_id", "seq", "verdict").agg(F.count("*").alias("n_chunks"))
+
+
+@query(f"WITH {ENTRIES}, {NEWEST} SELECT chain_id, seq, count(*) AS n_chunks, CAST(sum(plan_len) AS BIGINT) AS n_bytes FROM newest WHERE state = 1 GROUP BY 1, 2")
+def restore_members(spark, d):
+    """The members that a restore of each chain's newest state reads."""
+    return vf.restore_members(bind.newest(spark, d), ["chain_id"], "seq", "plan_len", F.col("state") == ch.STORED)
+
+
+@query(f"""WITH {_COMPLETE}, {ENTRIES}, {NEWEST}, {_VERDICTS}, s AS (SELECT n.chain_id, n.state, coalesce(rec.r.v, 'missing') AS v FROM newest n LEFT JOIN rec ON rec.chain_id = n.chain_id AND rec.seq = n.seq AND rec.plan_offset = n.plan_offset WHERE n.state IN (1, 3))
+SELECT chain_id, 'incomplete' AS refusal, n AS n_cases FROM (SELECT chain_id, CAST(1 AS BIGINT) AS n FROM comp WHERE NOT is_complete) UNION ALL SELECT chain_id, 'no_members', CAST(1 AS BIGINT) FROM (SELECT DISTINCT chain_id FROM newest) WHERE chain_id NOT IN (SELECT chain_id FROM comp WHERE chain_id IS NOT NULL)
+UNION ALL SELECT chain_id, 'bad_chunks', count(*) FROM s WHERE state = 3 GROUP BY 1 UNION ALL SELECT chain_id, 'payload_' || v, count(*) FROM s WHERE state = 1 AND v <> 'equal' GROUP BY 1, v""")
+def restore_refusals(spark, d):
+    """Why the newest state of a chain can't be restored as a whole, as rows: chains that are incomplete or unknown, bad chunks
+    and payloads that are missing or don't hash to what was stored."""
+    one = F.lit(1).cast("bigint").alias("n_cases")
+    comp, state = _complete(spark, d), bind.newest(spark, d)
+    held = _checked(spark, d, state.where(F.col("state").isin(ch.STORED, ch.BAD)))
+    bad = F.when(F.col("state") == ch.BAD, F.lit("bad_chunks")).when(F.col("verdict") != "equal", F.concat(F.lit("payload_"), "verdict"))
+    faults = held.select("chain_id", bad.alias("refusal")).where("refusal is not null").groupBy("chain_id", "refusal").agg(F.count("*").alias("n_cases"))
+    unknown = state.select("chain_id").distinct().join(comp.select("chain_id"), "chain_id", "left_anti").select("chain_id", F.lit("no_members").alias("refusal"), one)
+    return comp.where("not is_complete").select("chain_id", F.lit("incomplete").alias("refusal"), one).unionByName(unknown).unionByName(faults)
+
+
+@query(f"""WITH {ENTRIES}, e AS (SELECT chain_id, seq, region, min(plan_offset) AS s, max(plan_offset + plan_len - 1) AS t FROM entries WHERE plan_len > 0 GROUP BY 1, 2, 3),
+w AS (SELECT chain_id, seq, region, s AS start, max(t) OVER (PARTITION BY chain_id, seq ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e) SELECT * FROM w WHERE start <= reach""")
+def region_order_breaks(spark, d):
+    """Regions of a layout that begin before an earlier one ends."""
+    e = bind.entries(spark, d).where("plan_len > 0").groupBy("chain_id", "seq", "region").agg(F.min("plan_offset").alias("start"), F.max(F.col("plan_offset") + F.col("plan_len") - 1).alias("end_incl"))
+    return vf.order_breaks(e, ["chain_id", "seq"], "region", "start", "end_incl")
+
+
+@query(f"WITH {CHUNKS}, h AS (SELECT chain_id, lower(hash) AS hash, count(*) AS n_records FROM ck WHERE hash IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY hash) - 1 AS position FROM h")
+def hash_index(spark, d):
+    """The sorted index of the hashes of each chain."""
+    return vf.hash_index(bind.chunks(spark, d), ["chain_id"], "hash")
+
+
+@query(f"""WITH {CHUNKS} SELECT chain_id, member_seq, count(*) AS n_chunks, count(DISTINCT lower(hash)) AS n_distinct, CAST(sum(plain_len) AS BIGINT) AS plain_bytes, CAST(sum(octet_length(payload)) AS BIGINT) AS stored_bytes, max(chunk_offset + plain_len) AS stream_end FROM ck GROUP BY 1, 2""")
+def stream_rollup(spark, d):
+    """Totals of each member's record stream."""
+    c = bind.chunks(spark, d)
+    return c.groupBy("chain_id", "member_seq").agg(F.count("*").alias("n_chunks"), F.countDistinct(F.lower("hash")).alias("n_distinct"), F.sum("plain_len").cast("bigint").alias("plain_bytes"), F.sum(F.length("payload")).cast("bigint").alias("stored_bytes"), F.max(F.col("chunk_offset") + F.col("plain_len")).alias("stream_end"))
+
+
+@query(f"WITH {MEM} SELECT set_id, count(*) AS n_members, count(DISTINCT chain_id) AS n_chains, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, max(created_unix) AS newest_unix FROM mem WHERE is_whole_disk GROUP BY 1")
+def whole_disk_totals(spark, d):
+    """Members of whole disks per set."""
+    return bind.members(spark, d).where("is_whole_disk").groupBy("set_id").agg(F.count("*").alias("n_members"), F.countDistinct("chain_id").alias("n_chains"), F.sum("size_bytes").alias("size_bytes"), F.max("created_unix").alias("newest_unix"))
+
+
+@query(f"WITH {MEM} SELECT b.destination, count(DISTINCT mem.chain_id) AS n_devices, count(DISTINCT mem.set_id) AS n_sets FROM mem JOIN backup_sets b ON b.set_id = mem.set_id GROUP BY 1")
+def destination_devices(spark, d):
+    """Distinct chains and sets that write to each destination."""
+    sets = table(spark, d, "backup_sets").select("set_id", "destination")  # fixed table of 40 rows
+    return bind.members(spark, d).join(F.broadcast(sets), "set_id").groupBy("destination").agg(F.countDistinct("chain_id").alias("n_devices"), F.countDistinct("set_id").alias("n_sets"))

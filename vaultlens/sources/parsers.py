@@ -72,7 +72,8 @@ def subvolumes(lines: DataFrame) -> DataFrame:
 
 
 def findmnt(docs: DataFrame, depth: int = 8) -> DataFrame:
-    """Mounts of a findmnt JSON document (column json), children included down to ``depth`` levels."""
+    """Mounts of a findmnt JSON document (column json), children included. A document with mounts below ``depth`` levels
+    is an error, as leaving them out would go unseen."""
     kind = "struct<target:string,source:string,fstype:string,options:string>"
     for _ in range(depth):
         kind = f"struct<target:string,source:string,fstype:string,options:string,children:array<{kind}>>"
