@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vaultlens.llm import history
@@ -125,3 +126,61 @@ def test_arrays_keep_their_order_and_content():
     groups = np.unique(whole[0])
     assert (np.diff(whole.codes(groups).astype(object)) >= 0).all()
     assert sorted(zip(*(x.tolist() for x in whole))) == sorted([*zip(*(x.tolist() for x in a)), *zip(*(x.tolist() for x in b))])
+
+
+def _smallest(p, keep=24):
+    """Windows of smallest hash, by the hash that chose a record's only entries before."""
+    w = history.windows(p)
+    h = w * history.MUL
+    h ^= h >> np.uint64(32)
+    h *= history.MUL2
+    h ^= h >> np.uint64(29)
+    return {int(x).to_bytes(8, "big") for x in w[np.argsort(h)[:keep]]}
+
+
+def test_a_pair_is_found_whichever_windows_differ(spark):
+    base = random.Random(21).randbytes(2000)
+    near = bytearray(base)
+    for w in _smallest(base):  # each of them is lost, all others stay
+        near[base.index(w) + 3] ^= 1
+    rows = [("A", 0, 1, base), ("A", 0, 2, bytes(near)), ("A", 1, 3, base[:1700])]
+    assert not _smallest(base) & _smallest(bytes(near))
+    assert run(spark, rows) == brute(rows) == [(1, 2), (1, 3)]
+
+
+def _first_windows(payloads, costs):
+    got = [set() for _ in payloads]
+    for own, window, _, _ in history.prefixes(pa.array(payloads, pa.binary()), costs, 0.7):
+        for i, w in zip(own.tolist(), window.tolist()):
+            got[i].add(w)
+    return got
+
+
+@pytest.mark.parametrize("alphabet", [2, 12, 256])
+def test_similar_payloads_agree_in_their_first_windows(alphabet):
+    dice = random.Random(alphabet)
+    costs = np.random.default_rng(alphabet).integers(0, 160, history.SLOTS).astype(np.uint8)
+    checked = 0
+    for size in [8, 9, 10, 12, 15, 20, 40, 90, 300] * 40:
+        a = bytes(dice.randrange(alphabet) for _ in range(size))
+        b = bytearray(a)
+        for _ in range(dice.randrange(1, 2 + size // 30)):
+            b[dice.randrange(len(b))] = dice.randrange(alphabet)
+        b = bytes(b)[dice.choice([0, 0, size // 10]) :]
+        v, w = ({p[k : k + 8] for k in range(len(p) - 7)} for p in (a, b))
+        if v and w and len(v & w) >= 0.7 * len(v | w):
+            x, y = _first_windows([a, b], costs)
+            assert len(x & y) >= min(history.COVERAGE, len(v & w))
+            checked += 1
+    assert checked > 20
+
+
+def test_windows_that_many_records_share_come_last(spark):
+    dice = random.Random(5)
+    line = b"a header that stands in all of the records, over and over; "
+    texts = [line + dice.randbytes(60) for _ in range(300)]
+    costs = history.rarities(spark.createDataFrame([(t,) for t in texts], "payload binary"))
+    rare, flat = (_first_windows(texts, c) for c in (costs, np.zeros_like(costs)))
+    shared = lambda got: len(set.intersection(*got))
+    assert shared(rare) == 0
+    assert sum(len(x & y) for x, y in zip(rare, rare[1:])) == 0 < sum(len(x & y) for x, y in zip(flat, flat[1:]))
